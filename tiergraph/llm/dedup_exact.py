@@ -17,6 +17,7 @@ PROVIDER = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition sets megabytes aside
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: Copies of one text that are compared with one shipped copy of the representative.
