@@ -73,3 +73,18 @@ def small(df: DataFrame, limit: int) -> bool:
 def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast df if it has at most limit rows (narrow rows only); a shuffled join otherwise."""
     return F.broadcast(df) if small(df, limit) else df
+
+
+def by_key(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Join rows with values, which has one row for each key and its number of rows as n; counts has the same n.
+
+    Keys with more than a quarter of an even partition's share are looked up in a broadcast table. There are at most
+    four times as many of them as partitions, whatever the data, so its size is bounded. The rest is shuffled.
+    """
+    parts = partitions(rows.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") > max(total // (4 * parts), 16)
+    few = values.where(heavy)
+    some = rows.join(F.broadcast(few.drop("n")), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(values.where(~heavy).drop("n"), key)
+    return some.unionByName(rest)

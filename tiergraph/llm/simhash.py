@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, maybe_broadcast, texts_of
+from .common import arrow_map, by_key, materialise, maybe_broadcast, texts_of
 from .components import components
 
 SEED = 42
@@ -105,13 +105,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     skipped in the smallest id of a component. An empty table gives no rows. Other columns aren't read.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, width), "simhash-fps")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes, hot))
     named = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("linked"))
     named = named.join(nodes.select(F.col("fp").alias("root"), "least"), "root").select("root", F.least("linked", "least").alias("component_id"))
     placed = roots.select("node", "root").unionByName(named.select(F.col("root").alias("node"), "root")).join(named, "root")
-    whole = nodes.join(placed, nodes["fp"] == placed["node"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = fps.join(whole, "fp")
+    whole = nodes.join(placed, nodes["fp"] == placed["node"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    out = by_key(fps, whole, "fp", nodes)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
