@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import report
 from .dedup_exact import exact_dedup
+from .packing import pack
 from .simhash import near_components
+from .token_store import token_digests
+from .tokens import tokenizer_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -21,6 +37,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op3_decontamination": op3_decontamination,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
 }
