@@ -6,11 +6,12 @@ have it at the same place. A trigger together with the run of windows that it st
 
 The dictionary holds each distinct phrase in context once, under a 128-bit digest of its bytes; the parse is the list of
 (document, place, phrase). Corpus order is needed only as far as `size` bytes, and of it only which neighbours are
-equal, so equal ranks are found as equal digests, in two steps:
+equal, so equal ranks are found as equal digests, from coarse to fine:
 
 - parse: a phrase in context that occurs twice is repeated whole, as are all its windows;
-- dictionary: where different phrases in context share the bytes after their trigger (GUARD of them), they may agree in
-  some windows. Each of them, once however often it occurs, gives its windows, and equal windows are repeated.
+- dictionary: different phrases in context that share the bytes after their trigger (GUARD of them) may agree in some
+  windows. Each of them, once however often it occurs, is cut into runs of STEP windows, counted from the trigger;
+  equal runs are repeated, and of different runs that share their common bytes, each gives its single windows.
 
 All counting is by groupBy with combining before the shuffle; documents are read again only to cut out spans, and
 joined by a digest of their text.
@@ -27,11 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_map, materialise
+from .common import ARROW_ROWS, arrow_map, materialise, release
 
 SIZE = 400
 WIDTH = 8
 GUARD = 64
+STEP = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Windows handled at a time in one text.
 BLOCK = 1 << 21
@@ -79,72 +81,99 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain.withColumn("h", F.xxhash64("doc_id", "text"))
 
 
+FIELDS = "first int, n int, back int, guard bigint, p1 bigint, p2 bigint"
+NAMES = ["doc_id", "h", "first", "n", "back", "guard", "p1", "p2"]
+
+
+def _rows(batch: pa.RecordBatch, row: list[int], first: list[int], n: list[int], back: list[int], guard: list[int], digest: list[bytes]) -> pa.RecordBatch:
+    """Columns 0 and 1 of batch are doc_id and h."""
+    at = pa.array(row, pa.int64())
+    pair = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+    arrays = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int32()) for x in (first, n, back))]
+    arrays += [pa.array(np.array(guard, np.uint64).view(np.int64)), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
+    return pa.RecordBatch.from_arrays(arrays, NAMES)
+
+
 def parse(texts: DataFrame, size: int = SIZE, guard: int = GUARD) -> DataFrame:
-    """(doc_id, h, first, n, guard, p1, p2): the parse, with the digest (p1, p2) of each phrase in context."""
+    """The parse: (doc_id, h, first window, n windows, bytes from the first to the trigger, guard, p1, p2).
+
+    guard is a digest of the bytes after the trigger, (p1, p2) one of the phrase in context.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "h", "first", "n", "guard", "p1", "p2"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, first, n, mark, digest = [], [], [], [], []
-        for row, text in enumerate(batch.column(1).to_pylist()):
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for row, text in enumerate(batch.column(2).to_pylist()):
             data = _utf8(text)
-            for a, count, trigger in phrases(data, size, guard):
-                rows.append(np.full(len(a), row))
-                first.append(a)
-                n.append(count)
-                mark += [xxhash.xxh3_64_intdigest(data[t : t + guard]) for t in trigger.tolist()]
-                digest += [xxhash.xxh3_128_digest(data[x : x + k + size - 1]) for x, k in zip(a.tolist(), count.tolist(), strict=True)]
-        if not rows:
-            return pa.RecordBatch.from_pylist([], schema)
-        row = pa.array(np.concatenate(rows))
-        pair = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-        arrays = [batch.column(0).take(row), batch.column(2).take(row), pa.array(np.concatenate(first), pa.int32()), pa.array(np.concatenate(n), pa.int32())]
-        arrays += [pa.array(np.array(mark, np.uint64).view(np.int64)), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
-        return pa.RecordBatch.from_arrays(arrays, names)
+            for first, n, trigger in phrases(data, size, guard):
+                first, n, trigger = first.tolist(), n.tolist(), trigger.tolist()
+                new = ([row] * len(first), first, n, [t - a for a, t in zip(first, trigger, strict=True)])
+                new += ([xxhash.xxh3_64_intdigest(data[t : t + guard]) for t in trigger],)
+                new += ([xxhash.xxh3_128_digest(data[a : a + k + size - 1]) for a, k in zip(first, n, strict=True)],)
+                for whole, part in zip(out, new, strict=True):
+                    whole += part
+        return _rows(batch, *out)
 
-    id_type = pa.string() if kind == "string" else {"int": pa.int32()}.get(kind, pa.int64())
-    schema = pa.schema([("doc_id", id_type), ("h", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("guard", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64())])
-    return arrow_map(texts, one, f"doc_id {kind}, h bigint, first int, n int, guard bigint, p1 bigint, p2 bigint")
+    return arrow_map(texts.select("doc_id", "h", "text"), one, f"doc_id {kind}, h bigint, {FIELDS}")
 
 
 def _on_document(a: DataFrame, b: DataFrame):
     return (a["h"] == b["h"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
-def windows(texts: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, h, at, w1, w2): the digest of each window of the phrases in context in wanted."""
+def finer(texts: DataFrame, wanted: DataFrame, step: int, size: int = SIZE) -> DataFrame:
+    """The rows of wanted cut into runs of at most step windows, in the columns of parse().
+
+    Runs are counted back from the trigger, so that equal windows fall into the same run of their phrase. guard is a
+    digest of the bytes that all windows of an uncut run share.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
-    runs = wanted.groupBy("doc_id", "h").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("ns"))
-    whole = runs.join(texts, _on_document(runs, texts)).select(runs["doc_id"], runs["h"], "text", "firsts", "ns")
+    runs = wanted.groupBy("doc_id", "h").agg(*(F.collect_list(c).alias(c) for c in ("first", "n", "back")))
+    whole = runs.join(texts, _on_document(runs, texts)).select(runs["doc_id"], runs["h"], "text", "first", "n", "back")
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 data = _utf8(batch.column(2)[row].as_py())
-                for first, n in zip(batch.column(3)[row].as_py(), batch.column(4)[row].as_py(), strict=True):
-                    digest = b"".join([xxhash.xxh3_128_digest(data[a : a + size]) for a in range(first, first + n)])
-                    pair = np.frombuffer(digest, "<i8").reshape(-1, 2)
-                    same = pa.array([row] * n)
-                    arrays = [batch.column(0).take(same), batch.column(1).take(same), pa.array(np.arange(first, first + n), pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "at", "w1", "w2"])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for first, n, back in zip(*(batch.column(k)[row].as_py() for k in (3, 4, 5)), strict=True):
+                    trigger, last = first + back, first + n - 1
+                    for k in range((trigger - last) // step, back // step + 1):
+                        a, b = max(first, trigger - k * step - step + 1), min(last, trigger - k * step)
+                        shared = trigger - k * step
+                        mark = xxhash.xxh3_64_intdigest(data[shared : shared + size - step + 1], seed=k)
+                        digest = xxhash.xxh3_128_digest(data[a : b + size], seed=trigger - a)
+                        for x, y in zip(out, (row, a, b - a + 1, trigger - a, mark, digest), strict=True):
+                            x.append(y)
+                yield _rows(batch, *out)
 
     texts.sparkSession.conf.set(ARROW_ROWS, "512")
-    return whole.mapInArrow(one, f"doc_id {kind}, h bigint, at int, w1 bigint, w2 bigint")
+    return whole.mapInArrow(one, f"doc_id {kind}, h bigint, {FIELDS}")
 
 
-def repeated_spans(texts: DataFrame, size: int = SIZE, guard: int = GUARD) -> DataFrame:
-    """(doc_id, h, a, b): byte spans that windows seen twice cover; they overlap, and may repeat."""
-    parsed = materialise(parse(texts, size, guard), "substring-parse")
+def settle(parsed: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """Spans (doc_id, h, a, b) of rows whose phrase occurs twice, and one row of each phrase that shares its guard with
+    another phrase."""
     phrase = ["guard", "p1", "p2"]
-    entries = parsed.groupBy(phrase).agg(F.count("*").alias("times"), F.min(F.struct("h", "doc_id", "first", "n")).alias("at"))
+    entries = parsed.groupBy(phrase).agg(F.count("*").alias("times"), F.min(F.struct("h", "doc_id", "first", "n", "back")).alias("at"))
     often = entries.where("times > 1").select(phrase)
     whole = parsed.join(often, phrase, "left_semi").select("doc_id", "h", F.col("first").alias("a"), (F.col("first") + F.col("n") + size - 1).alias("b"))
     mixed = entries.groupBy("guard").agg(F.count("*").alias("kinds")).where("kinds > 1").select("guard")
-    wanted = materialise(entries.join(mixed, "guard", "left_semi").select("at.doc_id", "at.h", "at.first", "at.n"), "substring-wanted")
-    seen = materialise(windows(texts, wanted, size), "substring-windows")
-    twice = seen.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    some = seen.join(twice, ["w1", "w2"], "left_semi").select("doc_id", "h", F.col("at").alias("a"), (F.col("at") + size).alias("b"))
-    return whole.unionByName(some)
+    wanted = entries.join(mixed, "guard", "left_semi").select("at.doc_id", "at.h", "at.first", "at.n", "at.back")
+    return whole, wanted
+
+
+def repeated_spans(texts: DataFrame, size: int = SIZE, guard: int = GUARD, step: int = STEP) -> DataFrame:
+    """(doc_id, h, a, b): byte spans that windows seen twice cover; they overlap, and may repeat."""
+    whole, wanted = settle(materialise(parse(texts, size, guard), "substring-parse"), size)
+    spans = [materialise(whole, "substring-spans")]
+    for width in (step, 1):
+        wanted = materialise(wanted, "substring-wanted")
+        release(texts.sparkSession)
+        whole, wanted = settle(materialise(finer(texts, wanted, width, size), "substring-finer"), size)
+        spans.append(materialise(whole, "substring-spans"))
+        release(texts.sparkSession)
+    return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
 def merge(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -161,7 +190,7 @@ def merge(spans: np.ndarray) -> list[tuple[int, int]]:
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, guard: int = GUARD) -> DataFrame:
     """(doc_id, text, starts, ends): each document with its repeated spans, null where it has none."""
     texts = _texts(docs, id_col, text_col)
-    spans = materialise(repeated_spans(texts, size, guard), "substring-spans")
+    spans = repeated_spans(texts, size, guard)
     by_doc = spans.groupBy("doc_id", "h").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
     return texts.join(by_doc, _on_document(texts, by_doc), "left").select(texts["doc_id"], "text", "starts", "ends")
 
