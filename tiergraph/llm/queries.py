@@ -11,6 +11,7 @@ from .packing import pack
 from .simhash import near_components
 from .token_store import token_digests
 from .tokens import tokenizer_path
+from .toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path())
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
