@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import report
 from .dedup_exact import exact_dedup
 from .dedup_substring import remove_repeats
+from .language import identify
 from .packing import pack
 from .simhash import near_components
 from .token_store import token_digests
@@ -30,6 +31,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir)).drop("lang_words")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
