@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import chat_format
 from .decontaminate import report
 from .dedup_exact import exact_dedup
 from .dedup_substring import remove_repeats
@@ -35,6 +37,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir)).drop("lang_words")
 
 
+#: Both texts of the added conversation, which hold the template's own marks.
+MARKS = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS).alias("text"))
+    return chat_format(rows.unionByName(added))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,6 +68,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
@@ -63,6 +76,23 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_chat_format": """
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+        ), escaped AS (
+            SELECT *, replace(replace(replace(text, '\\', '\\b'), '<', '\\l'), '#', '\\h') AS body,
+                   replace(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '#', '\\h'), ':', '\\c') AS head
+            FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+               CAST(sum(4 + length(head) + 2 + length(body) + 8) AS BIGINT) AS formatted_chars
+        FROM escaped GROUP BY conv_id
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
