@@ -9,6 +9,7 @@ from .chat import chat_format
 from .decontaminate import report
 from .dedup_exact import exact_dedup
 from .dedup_substring import remove_repeats
+from .html_text import main_text
 from .language import identify
 from .packing import pack
 from .simhash import near_components
@@ -47,6 +48,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(rows.unionByName(added))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_chat_format": op5_chat_format,
+    "op6_main_text": op6_main_text,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
