@@ -7,8 +7,12 @@ from pyspark.sql import types as T
 KEYS = ["db_uuid", "session", "bundle"]
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Flat columns, read without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in text.split(","))])
 
 
 DATABASE = _schema("uuid string, name string")
@@ -32,7 +36,8 @@ SEGMENTS = _schema(
     "start_item_seq_idx int, end_item_seq_idx int, type string, sample_start bigint, sample_end bigint, sample_rate double"
 )
 
-ANNOTATION = _schema(
+#: An annotation file, for from_json.
+ANNOTATION = (
     "name string, annotates string, sampleRate double, "
     "levels array<struct<name:string,type:string,items:array<struct<id:bigint,samplePoint:bigint,sampleStart:bigint,sampleDur:bigint,labels:array<struct<name:string,value:string>>>>>>, "
     "links array<struct<fromID:bigint,toID:bigint,label:string>>"
