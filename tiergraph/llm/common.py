@@ -29,12 +29,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives a lost executor."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as written to the shared folder, and the path: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_map, materialise, release
+from .common import ARROW_ROWS, arrow_map, materialise, release, remove, stored
 
 SIZE = 400
 WIDTH = 8
@@ -165,14 +165,19 @@ def settle(parsed: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
 
 def repeated_spans(texts: DataFrame, size: int = SIZE, guard: int = GUARD, step: int = STEP) -> DataFrame:
     """(doc_id, h, a, b): byte spans that windows seen twice cover; they overlap, and may repeat."""
-    whole, wanted = settle(materialise(parse(texts, size, guard), "substring-parse"), size)
-    spans = [materialise(whole, "substring-spans")]
-    for width in (step, 1):
-        wanted = materialise(wanted, "substring-wanted")
-        release(texts.sparkSession)
-        whole, wanted = settle(materialise(finer(texts, wanted, width, size), "substring-finer"), size)
+    spark, spans = texts.sparkSession, []
+    rows, path = stored(parse(texts, size, guard), "substring-parse")
+    for width in (step, 1, 0):
+        whole, wanted = settle(rows, size)
         spans.append(materialise(whole, "substring-spans"))
-        release(texts.sparkSession)
+        before = [path]
+        if width:
+            wanted, at = stored(wanted, "substring-wanted")
+            rows, path = stored(finer(texts, wanted, width, size), "substring-finer")
+            before.append(at)
+        for at in before:  # what was made from them is in the shared folder by now
+            remove(spark, at)
+        release(spark)
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
