@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_map, materialise, release, remove, stored
+from .common import ARROW_ROWS, arrow_map, materialise, partitions, release, remove, stored
 
 SIZE = 400
 WIDTH = 8
@@ -156,8 +156,12 @@ def settle(parsed: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     another phrase."""
     phrase = ["guard", "p1", "p2"]
     entries = parsed.groupBy(phrase).agg(F.count("*").alias("times"), F.min(F.struct("h", "doc_id", "first", "n", "back")).alias("at"))
-    often = entries.where("times > 1").select(phrase)
-    whole = parsed.join(often, phrase, "left_semi").select("doc_id", "h", F.col("first").alias("a"), (F.col("first") + F.col("n") + size - 1).alias("b"))
+    # phrases with more than a quarter of an even share of the rows; four a partition at most, so they can be broadcast
+    share = max(1, parsed.count() // (4 * partitions(parsed.sparkSession)))
+    heavy = F.broadcast(entries.where(F.col("times") > share).select(phrase))
+    light = entries.where(F.col("times").between(2, share)).select(phrase)
+    twice = parsed.join(heavy, phrase, "left_semi").unionByName(parsed.join(heavy, phrase, "left_anti").join(light, phrase, "left_semi"))
+    whole = twice.select("doc_id", "h", F.col("first").alias("a"), (F.col("first") + F.col("n") + size - 1).alias("b"))
     mixed = entries.groupBy("guard").agg(F.count("*").alias("kinds")).where("kinds > 1").select("guard")
     wanted = entries.join(mixed, "guard", "left_semi").select("at.doc_id", "at.h", "at.first", "at.n", "at.back")
     return whole, wanted
