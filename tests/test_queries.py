@@ -32,4 +32,4 @@ def test_entry(spark):
 
 def test_label_filters_reach_the_scan(spark):
     plan = QUERIES["eql_seq_span"](spark, SF)._jdf.queryExecution().toString()
-    assert "EqualTo(name,Lineitem)" in plan and "CartesianProduct" not in plan
+    assert "PartitionFilters: [isnotnull(name" in plan and "EqualTo(label,A)" in plan and "CartesianProduct" not in plan

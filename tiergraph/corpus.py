@@ -14,7 +14,9 @@ from .plans import eql
 from .plans.compile import Compiler, segments
 from .plans.hierarchy import Hierarchy
 
-TABLES = ("bundles", "items", "labels", "links", "meta_bundle", "meta_session", "meta_database")
+SCHEMAS = {"bundles": S.BUNDLE, "items": S.ITEMS, "labels": S.LABELS, "links": S.LINKS, "meta_bundle": S.META_BUNDLE, "meta_session": S.META_SESSION, "meta_database": S.META_DATABASE}
+#: Stored in folders by these columns, which each query names: it reads the folders of its levels and attributes alone.
+FOLDERS = {"items": "level", "labels": "name"}
 
 
 @dataclass(frozen=True)
@@ -33,9 +35,8 @@ class Corpus:
     @classmethod
     def of(cls, spark: SparkSession, hierarchy: Hierarchy, config: dict | None = None, **tables: DataFrame) -> Corpus:
         """A corpus of the given tables; those left out are empty."""
-        kinds = {"bundles": S.BUNDLE, "items": S.ITEMS, "labels": S.LABELS, "links": S.LINKS, "meta_bundle": S.META_BUNDLE, "meta_session": S.META_SESSION, "meta_database": S.META_DATABASE}
         made = {}
-        for name, schema in kinds.items():
+        for name, schema in SCHEMAS.items():
             table = tables.get(name)
             made[name] = spark.createDataFrame([], schema) if table is None else table.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in schema])
         return cls(spark, hierarchy, config=config or {}, **made)
@@ -101,9 +102,10 @@ class Corpus:
         raise ValueError(f"can't peek at {what}")
 
     def save(self, path: str) -> Corpus:
-        """Write the tables, partitioned by session no further than their size asks, and read them back."""
-        for name in TABLES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Write the tables and read them back."""
+        for name in SCHEMAS:
+            writer = getattr(self, name).write.mode("overwrite")
+            (writer.partitionBy(FOLDERS[name]) if name in FOLDERS else writer).parquet(f"{path}/{name}")
         config = json.dumps(self.config | self.hierarchy.to_config())
         self.spark.createDataFrame([(config,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
         return Corpus.load(self.spark, path)
@@ -111,4 +113,4 @@ class Corpus:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Corpus:
         config = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/config").limit(1000).toLocalIterator()))
-        return cls(spark, Hierarchy.from_config(config), config=config, **{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
+        return cls(spark, Hierarchy.from_config(config), config=config, **{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()})
