@@ -88,3 +88,15 @@ def test_targets_and_tones():
 def test_tone_udf(spark):
     df = spark.createDataFrame([([120.0] * 40 + [200.0] * 40,), ([],), (None,)], "f0 array<double>")
     assert [r.x.key is not None for r in df.select(prosody.intsint("f0").alias("x")).collect()] == [True] * 3
+
+
+def test_speaker_parameters(spark):
+    from tiergraph.operators import speaker_parameters
+
+    rows = [("Male", 20, 40, "minF", 60.0, 30), ("Male", 41, 60, "minF", 70.0, 5), ("Female", 20, 22, "minF", 100.0, 10), ("Female", 26, 28, "minF", 100.0, None), ("Male", 20, 60, "nominalF1", 500.0, 3), ("Male", None, 5, "minF", 1.0, 1)]
+    defaults = spark.createDataFrame(rows, "gender string, age_lower int, age_upper int, parameter string, setting double, participants int")
+    got = {(r.gender, r.age): r for r in speaker_parameters.table(defaults, ["minF", "nominalF1", "nominalF2", "windowSize"]).collect()}
+    assert {g for g, _ in got} == {"Male", "Female", "Unspecified"}
+    assert (got["Female", 24].minF, got["Female", 24].windowSize) == (100, 20) and got["Female", 24].nominalF1 is None
+    assert got["Male", 30].nominalF1 == 500 and got["Male", 30].nominalF2 == 1500 and 55 <= got["Male", 25].minF <= got["Male", 55].minF <= 75
+    assert speaker_parameters.table(defaults.limit(0), ["minF"]).count() == 0
