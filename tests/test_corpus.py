@@ -13,7 +13,7 @@ from tiergraph.streaming import sync
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
-    return write(tmp_path_factory.mktemp("fx_emuDB"))
+    return write(tmp_path_factory.mktemp("fx_corpus"))
 
 
 @pytest.fixture(scope="module")
