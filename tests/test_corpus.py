@@ -122,6 +122,22 @@ def test_metadata(corpus):
         corpus.set_metadata(bundle="B1", Age="nine")
 
 
+def test_sheets(corpus, tmp_path):
+    metadata.export_sheets(corpus, str(tmp_path))
+    rows = {(r.session, r.bundle): r.asDict() for r in metadata.sheet(corpus, "bundles").collect()}
+    assert rows["S1", "B1"]["Speaker"] == "S001" and rows["S2", "B3"]["Country"] is None and "Gender" in rows["S2", "B3"]
+    text = (next((tmp_path / "sessions").glob("part-*.csv"))).read_text()
+    assert "Northern" in "".join(p.read_text() for p in (tmp_path / "sessions").glob("part-*.csv")) and text.startswith("session,")
+    for p in (tmp_path / "sessions").glob("*.csv"):
+        changed = p.read_text().replace("Northern", "Southern")
+        p.unlink()
+        (tmp_path / "sessions" / f".{p.name}.crc").unlink(missing_ok=True)
+        p.write_text(changed)
+    later = metadata.import_sheets(corpus, str(tmp_path))
+    assert {r.bundle: (r.Dialect, r.Speaker, r.Country) for r in later.metadata().collect()} == {"B1": ("Southern", "S001", "Canada"), "B2": ("Southern", None, "USA"), "B3": (None, None, "USA")}
+    assert {r.bundle: r.value for r in metadata.field(later, "Age", "integer").collect()} == {"B1": 9, "B2": 9, "B3": None}
+
+
 def test_round_trip(spark, corpus, folder):
     made = annot_json.write_back(corpus).collect()
     for r in made:

@@ -129,3 +129,42 @@ def set_values(corpus, values: dict, session: str | None = None, bundle: str | N
     target = corpus.bundles.select("db_uuid").distinct()
     keys = ["db_uuid", "field_name"]
     return corpus.replace(meta_database=merged(corpus.meta_database, target.crossJoin(F.broadcast(new)).select(*keys, *names[1:]), keys))
+
+
+#: Sheets of exported metadata: table, and the columns that name a row.
+SHEETS = {"bundles": ("meta_bundle", ["session", "bundle"]), "sessions": ("meta_session", ["session"]), "database": ("meta_database", [])}
+MANDATORY = ("Age", "Gender")
+
+
+def sheet(corpus, name: str, mandatory: tuple[str, ...] = MANDATORY) -> DataFrame:
+    """A row per bundle, session or database with the values set there, without inheritance; mandatory fields have a column
+    in any case."""
+    table, keys = SHEETS[name]
+    rows = getattr(corpus, table)
+    present = {r.field_name for r in rows.select("field_name").distinct().toLocalIterator()}
+    fields = sorted(present | set(mandatory))
+    base = corpus.bundles.select("db_uuid", "session", F.col("name").alias("bundle")).select("db_uuid", *keys).distinct()
+    wide = rows.groupBy("db_uuid", *keys).agg(*[F.max(F.when(F.col("field_name") == f, F.col("field_value"))).alias(f) for f in fields])
+    return base.join(wide, ["db_uuid", *keys], "left").select(*keys, *[f"`{f}`" for f in fields])
+
+
+def export_sheets(corpus, path: str, mandatory: tuple[str, ...] = MANDATORY, overwrite: bool = False) -> None:
+    """Each sheet as CSV with a header below path."""
+    for name in SHEETS:
+        sheet(corpus, name, mandatory).write.mode("overwrite" if overwrite else "errorifexists").csv(f"{path}/{name}", header=True)
+
+
+def import_sheets(corpus, path: str):
+    """A corpus with the values of exported sheets over its own; empty cells change nothing. Types follow the registry."""
+    tables = {}
+    types = registry(corpus).select("field_name", F.col("field_type").alias("_type"))
+    uuid = corpus.bundles.select("db_uuid").distinct()
+    for name, (table, keys) in SHEETS.items():
+        read = corpus.spark.read.csv(f"{path}/{name}", header=True)
+        fields = [c for c in read.columns if c not in keys]
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("field_value")) for f in fields])).alias("x")
+        rows = read.select(*keys, pairs).select(*keys, "x.*").where("field_value IS NOT NULL")
+        rows = rows.crossJoin(F.broadcast(uuid)).join(types, "field_name", "left")
+        on = ["db_uuid", *keys, "field_name"]
+        tables[table] = merged(getattr(corpus, table), rows.select(*on, "field_value", F.coalesce("_type", F.lit("character")).alias("field_type")), on)
+    return corpus.replace(**tables)
