@@ -113,6 +113,17 @@ def test_simhash(spark):
     assert simhash.near_components(docs(spark, [])).count() == 0
 
 
+def test_keep_one_of_each(spark):
+    other, third = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    # 5 names two unlike texts; rows without an id; a copy of each kind
+    rows = [(5, other), (5, third), (9, other), (None, third), (None, "alone and without an id"), (None, "alone and without an id"), (2, None), (3, "")]
+    want = sorted([(5, other), (5, third), (None, "alone and without an id"), (2, None)], key=repr)
+    assert rows_of(simhash.keep_one_of_each(docs(spark, rows).withColumns({"_row": F.lit("x"), "_keep": F.lit(1)})), "doc_id", "text") == want
+    unique = [(5, other), (9, other), (1, third), (2, None), (3, "")]
+    assert rows_of(simhash.keep_one_of_each(docs(spark, unique)), "doc_id") == [(1,), (2,), (5,)]
+    assert simhash.keep_one_of_each(docs(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("hot", [0, 3, 10**6])
 def test_links_keep_components(spark, hot):
     rng = random.Random(hot)
