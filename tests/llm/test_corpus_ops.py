@@ -65,6 +65,19 @@ def test_exact_dedup_checks_bytes(spark):
 def test_keep_unique(spark):
     assert rows_of(dedup_exact.keep_unique(docs(spark, ROWS)), "doc_id") == [(4,), (5,), (6,), (7,), (8,)]
     assert rows_of(dedup_exact.keep_unique(docs(spark, ROWS[:3])), "doc_id") == [(7,)]
+    assert dedup_exact.keep_unique(docs(spark, [(1, None), (1, ""), (1, "a")])).count() == 2
+    assert dedup_exact.keep_unique(docs(spark, [])).count() == 0
+
+
+def test_exact_dedup_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(dedup_exact, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(dedup_exact, "COMPARE_ROWS", 8)
+    rows = [(k, "hot" if k % 3 == 0 else f"pair {k // 2}" if k % 3 == 1 else f"own {k}") for k in range(600)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    want = sorted((i, max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t in rows)
+    assert sorted(rows_of(dedup_exact.exact_dedup(docs(spark, rows)), "doc_id", "keep_id", "group_size", "kept")) == want
 
 
 # 10: SimHash

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_broadcast, remove, work_path
+from .common import by_key, materialise, maybe_broadcast, remove, small, work_path
 
 PROVIDER = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -57,9 +57,10 @@ def collisions(docs: DataFrame, kept: DataFrame, digest) -> DataFrame:
 
     Copies of a large group are spread over salts, and the representative's text is sent to each salt.
     """
-    groups = kept.where("n > 1").select("digest", F.col("doc_id").alias("rep_id"), "n")
+    groups = kept.where("n > 1").select("digest", F.col("doc_id").alias("rep_id"), "n", F.ceil(F.col("n") / COMPARE_ROWS).cast("int").alias("parts"))
     texts = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    hits = texts.join(maybe_broadcast(groups, BROADCAST_ROWS), "digest").withColumn("parts", F.ceil(F.col("n") / COMPARE_ROWS).cast("int"))
+    # a few groups are broadcast whole; else groups with many copies alone are
+    hits = texts.join(F.broadcast(groups), "digest") if small(groups, BROADCAST_ROWS) else by_key(texts, groups, "digest", kept)
     copies = hits.select("digest", "text", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("salt"))
     # any row with the representative's id: if several differ, one comparison below still shows it
     first = hits.where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).dropDuplicates(["digest"])
@@ -84,11 +85,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrivals = spark.read.schema(located.schema).parquet(arrivals_path)
     kept = stream_state(arrivals, arrivals_path)
     bad = materialise(collisions(plain, kept, digest), "dedup-collisions")
-    state = kept.select("digest", F.col("doc_id").alias("keep_id"), F.col("seq").alias("keep_seq"), F.col("n").alias("group_size"))
+    state = kept.select("digest", F.col("doc_id").alias("keep_id"), F.col("seq").alias("keep_seq"), F.col("n").alias("group_size"), "n")
     out = arrivals.drop("locator")
     collided = not bad.isEmpty()
     clean = out.join(F.broadcast(bad) if collided else bad, "digest", "left_anti") if collided else out
-    clean = clean.join(state, "digest").select("doc_id", "keep_id", "group_size", (F.col("seq") == F.col("keep_seq")).alias("kept"), "sha")
+    clean = by_key(clean, state, "digest", kept).select("doc_id", "keep_id", "group_size", (F.col("seq") == F.col("keep_seq")).alias("kept"), "sha")
     if collided:
         # equal digests, different bytes: the text itself is the key
         text = plain.select("doc_id", "text", digest(F.col("text")).alias("digest"), F.unhex(F.sha2("text", 256)).alias("sha")).join(bad, "digest", "left_semi")
@@ -106,8 +107,12 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
     repeated = not verdict.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty()
     if repeated:
-        # a kept and a dropped row can be alike here, so rows are first made unique
-        docs = docs.dropDuplicates([id_col, text_col])
+        # a kept and a dropped row can be alike here, so rows are first made unique; null and empty texts are alike
+        plain = "_plain"
+        while plain in docs.columns:
+            plain += "_"
+        docs = docs.withColumn(plain, F.coalesce(docs[text_col], F.lit(""))).dropDuplicates([id_col, plain]).drop(plain)
+        sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
         kept = verdict.where("kept").select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha"))
         return docs.join(kept, docs[id_col].eqNullSafe(kept["_drop_id"]) & (sha == kept["_drop_sha"]), "left_semi")
     dropped = maybe_broadcast(dropped, BROADCAST_ROWS)
