@@ -233,6 +233,23 @@ def plain_ids(text):
     return tool.encode(text or "", add_special_tokens=False).ids
 
 
+def test_clean_is_the_same_over_several_blocks(spark):
+    w = [f"w{k}" for k in range(60)]
+    bench = spark.createDataFrame([(str(k), " ".join(w[a : a + 12])) for k, a in enumerate((0, 8, 20, 40))], "item_id string, text string")
+    rows = [
+        (1, "A. " + " ".join(w[:32]) + " tail " * 40),
+        (2, " ".join(w[:12]) + " x " * 6 + ", ".join(w[40:52]) + " y" * 8),  # half and more, over two items
+        (2, " ".join(w[15:25])),
+        (3, None),
+        (4, ""),
+        (5, "x " + " ".join(w[:5]) + " " + " ".join(w[40:52]) + " " + " ".join(w[5:12]) + " z" * 40),  # no new match by cutting
+    ]
+    whole = rows_of(decontaminate.clean(docs(spark, rows), bench), "doc_id", "text")
+    parts = decontaminate.clean(docs(spark, rows).withColumn("_row", F.lit("x")), bench, block_chars=40)
+    assert parts.columns[-1] == "_row" and rows_of(parts, "doc_id", "text") == whole
+    assert [r[0] for r in whole] == [1, 2, 3, 4, 5]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(["a", "Z", "é", "É", "é", " ", "\n", "\x1c", "\xa0", ".", ",", "!", "'s", "’", "ß", "İ", "Σ", "12", "中", "<|endoftext|>", "<|STARTOFTEXT|>", "ﬁ", "Å", "😀", "hello"]), st.text(max_size=3)), max_size=8))
 def test_encoder_is_the_tokenizer(parts):

@@ -247,27 +247,60 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
+def merged(spans: Iterable[list[int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_coverage: float = MAX_COVERAGE, window: int = WINDOW, **options) -> DataFrame:
     """docs with hit spans cut out of text_col; rows whose hit share reaches max_coverage go.
 
-    Rows without a hit come back as they are, null text included. Columns and their order stay.
+    Rows without a hit come back as they are, null text included. Columns and their order stay. A benchmark of several
+    blocks gives what one block would: spans and shares are taken over all blocks before anything is cut.
     """
-    blocks = _blocks(bench, options.get("item_col", "item_id"), options.get("bench_text_col", "text"), options.get("block_chars", BLOCK_CHARS))
-    for block in blocks:
-        rows = [(r.item, r.text) for r in block.where("item IS NOT NULL").toLocalIterator()]
+    block_chars = options.get("block_chars", BLOCK_CHARS)
+    blocks = _blocks(bench, options.get("item_col", "item_id"), options.get("bench_text_col", "text"), block_chars)
+    at = docs.columns.index(text_col)
+
+    def keep(texts: list[str | None], found: Iterable[tuple[list[tuple[int, int]], int]]) -> tuple[list[str | None], list[bool]]:
+        out, stay = [], []
+        for text, (spans, n) in zip(texts, found, strict=True):
+            share = sum(b - a for a, b in spans) / n if n else 0
+            stay.append(share < max_coverage or not spans)
+            out.append(cut(text, spans) if spans else text)
+        return out, stay
+
+    def put(batch: pa.RecordBatch, texts: list[str | None], stay: list[bool]) -> pa.RecordBatch:
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(stay, pa.bool_()))
+
+    if len(blocks) == 1:
+        rows = [(r.item, r.text) for r in blocks[0].where("item IS NOT NULL").toLocalIterator()]
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(rows, window))
-        at = docs.columns.index(text_col)
-
-        def one(batch: pa.RecordBatch, shared=shared, at=at) -> pa.RecordBatch:
-            auto, texts, keep = shared.value, [], []
-            for text in batch.column(at).to_pylist():
-                own = words(text or "")
-                spans, _ = auto.scan(own)
-                share = sum(b - a for a, b in spans) / len(own) if own else 0
-                keep.append(share < max_coverage or not spans)
-                texts.append(cut(text, spans) if spans else text)
-            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            return out.filter(pa.array(keep))
-
-        docs = arrow_map(docs, one, docs.schema)
-    return docs
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(at).to_pylist()
+            own = (words(text or "") for text in texts)
+            return put(batch, *keep(texts, ((shared.value.scan(w)[0], len(w)) for w in own)))
+
+        return arrow_map(docs, one, docs.schema)
+
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "bench-rows")
+    found = hits(numbered, bench, id_col=number, text_col=text_col, window=window, **options).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("_of"), F.struct("spans", "n_words").alias("_hit"))
+    both = numbered.join(found, numbered[number] == found["_of"], "left").select(*[numbered[c] for c in docs.columns], found["_hit"].alias(number))
+
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        last = batch.num_columns - 1
+        hit = [(merged(h["spans"]), h["n_words"]) if h else ([], 0) for h in batch.column(last).to_pylist()]
+        return put(batch.remove_column(last), *keep(batch.column(at).to_pylist(), hit))
+
+    return arrow_map(both, apply, docs.schema)
