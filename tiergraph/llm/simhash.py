@@ -115,26 +115,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, find=near_components) -> DataFrame:
     """One row of docs for each near-duplicate component, with all columns: the one with the smallest id.
 
+    `find` gives the components, as near_components() does; `width` is the number of words in a shingle.
     Rows without an id come after all others. Of rows of a component that share the smallest id, the first read stays.
     """
-    found = materialise(near_components(docs, id_col, text_col, width), "simhash-found")
+    found = materialise(find(docs, id_col, text_col, width), "simhash-found")
     if not found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        return _keep_numbered(docs, id_col, text_col, width)
+        return _keep_numbered(docs, id_col, text_col, width, find)
     dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("_drop_id"))
     dropped = maybe_broadcast(dropped, BROADCAST_ROWS)
     return docs.join(dropped, docs[id_col] == dropped["_drop_id"], "left_anti")
 
 
-def _keep_numbered(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _keep_numbered(docs: DataFrame, id_col: str, text_col: str, width: int, find) -> DataFrame:
     """keep_one_of_each() where ids are missing or repeat, so that rows are told apart by a number of their own."""
     number = "_row"
     while number in docs.columns:
         number += "_"
     rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
-    found = near_components(rows, number, text_col, width).select(F.col("doc_id").alias("_n"), "component_id")
+    found = find(rows, number, text_col, width).select(F.col("doc_id").alias("_n"), "component_id")
     ids = rows.select(F.col(number).alias("_n"), F.col(id_col).alias("_id"))
     first = found.join(ids, "_n").groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_n")).alias("first"))
     first = first.select(F.col("first._n").alias("_keep"))
