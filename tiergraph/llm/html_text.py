@@ -2,7 +2,7 @@
 
 A page is a sequence of words and tags. A word scores by where it stands: above zero in elements that hold articles,
 far below in those that hold menus, adverts and the like. A tag scores below zero. A linear scan finds the contiguous
-part with the largest sum; it is widened to the element that holds it, and words that score below zero there go.
+part with the largest sum; it is widened to the container that holds it, and words that score below zero there go.
 Weights are log-odds of element names and class words over labelled pages, of which a small set is given below.
 """
 
@@ -31,7 +31,8 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 SIBLINGS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 ENDS_SIBLING = {name: frozenset(lists.split()) for name, lists in SIBLINGS.items()}
 ARTICLES = frozenset(("article", "main"))
-PAGE = frozenset(("html", "body"))
+#: Elements that hold a piece of a text, not the text: a part inside one is widened to what is around it.
+PIECES = INLINE | frozenset("blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup li ol p pre summary table tbody td tfoot th thead tr ul".split())
 TAG_COST = -0.2
 LEAST = -1.0
 _TOKEN = re.compile(
@@ -181,26 +182,30 @@ def best_part(scores: list[tuple[int, float]]) -> tuple[int, int] | None:
 def extract(page: str, known: dict[str, float] | None = None) -> str:
     """Blocks of main text, a line each."""
     known = weights() if known is None else known
-    runs, breaks, _ = outline(page, known)
+    runs, breaks, count = outline(page, known)
     runs = [(place, element, html.unescape(text)) for place, element, text in runs]
     scores = [(place, element.weight * len(text.split())) for place, element, text in runs]
     part = best_part(scores)
     if not part:
         return ""
     first, last = part
-    around = [e for place, e, text in runs if first <= place <= last and e.weight > 0 and not text.isspace()]
+    words = [(place, e) for place, e, text in runs if e.weight > 0 and not text.isspace()]
+    around = [e for place, e in words if first <= place <= last]
     shared = list(around[0].line())
     for e in around[1:]:
         own = set(map(id, e.line()))
         shared = [x for x in shared if id(x) in own]
-    holder = next((x for x in shared if x.name not in PAGE), None)
-    if holder:
+    # words that score below zero have gone, so no element around the others speaks against main text
+    for k, holder in enumerate(shared):
+        if holder.name in PIECES:
+            continue
+        alone = all(first <= place <= last for place, _ in words if holder.first <= place <= holder.last)
+        if alone and any(x.name in ARTICLES for x in shared[k + 1 :]):
+            continue  # wraps this part only, and an article is around it
         first, last = min(first, holder.first), max(last, holder.last)
-    else:  # the page itself: each end at its outermost element
-        for e in (around[0], around[-1]):
-            outer = [x for x in e.line() if x.name not in PAGE]
-            if outer:
-                first, last = min(first, outer[-1].first), max(last, outer[-1].last)
+        break
+    else:  # no container: the page itself
+        first, last = 0, count
     blocks, held, k = [], [], 0
     for place, element, text in runs:
         if first <= place <= last and element.weight > 0:
