@@ -40,3 +40,19 @@ def test_both_labels_stay(spark, monkeypatch):
     texts, marks = learned(spark, monkeypatch, rows)
     every = [r for r in learned(spark, monkeypatch, [(k, t[-140:], label) for k, t, label in rows])[1] if r]
     assert sum(map(len, texts)) <= 16_000 and marks.count(0) > 5 and marks.count(1) == len(every)
+
+
+def test_swaps_in_every_row_with_a_term(monkeypatch):
+    rows = labelled(600)
+    texts = [t + (" jewish" if k >= 500 else "") for k, t, _ in rows]
+    seen = []
+    swapped = toxicity._swapped
+    monkeypatch.setattr(toxicity, "_swapped", lambda own, turn: seen.append(own) or swapped(own, turn))
+    toxicity.fit(texts, [r[2] for r in rows])
+    sentences = [own for own in seen if len(own) > 1]
+    assert sentences == [toxicity.words(t) for t in texts[500:]]
+    added = len(seen) - len(sentences)
+    assert added == toxicity.MENTION_ROWS
+    seen.clear()
+    toxicity.fit(texts, [r[2] for r in rows], mention_rows=0)
+    assert len(seen) == 100

@@ -1,8 +1,9 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic regression over the words of a text and their beginnings. Identity terms (names of groups of people) are
-always features. For labelled sentences, a copy is made in which each identity term is swapped for another of its kind,
-and, so that every term is seen in every kind of sentence, copies with an added mention of a group; a change of the score
+always features. For each labelled sentence that has one, a copy is made in which each identity term is swapped for
+another of its kind, and, so that every term is seen in several sentences, copies of the first MENTION_ROWS sentences
+with an added mention of a group; a change of the score
 between such copies costs as much as PENALTY says. What a neutral mention of a group adds to the score therefore goes to
 nothing, whatever company the terms keep in the labelled rows.
 """
@@ -46,6 +47,8 @@ IDENTITIES = {
 }
 KINDS = {name: terms.split() for name, terms in IDENTITIES.items()}
 KIND_OF = {term: name for name, terms in KINDS.items() for term in terms}
+#: Labelled rows that are copied with an added mention of a group; four for each term.
+MENTION_ROWS = 4 * len(KIND_OF)
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Upper-case letters of two bytes in Latin-1, whose lower case is one bit away.
 _UPPER = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
@@ -117,8 +120,11 @@ def _evidence(a: int, n1: float, b: int, n0: float) -> float:
     return 2 * (part(a, n1, p) + part(b, n0, p)) if 0 < p < 1 else 0.0
 
 
-def fit(texts: list[str], labels: list[int], penalty: float = PENALTY) -> Model:
-    """Fit on labelled texts. Without both labels, the score is constant: the share of label 1, or 0 without rows."""
+def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, mention_rows: int = MENTION_ROWS) -> Model:
+    """Fit on labelled texts. Without both labels, the score is constant: the share of label 1, or 0 without rows.
+
+    Identity terms are swapped in all texts; mentions are added to the first mention_rows of them.
+    """
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, 20.0 if len(y) and y[0] else -20.0)
@@ -151,12 +157,13 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY) -> Model:
 
     x = rows(bags)
     pairs = []
-    for k, own in enumerate(bags[: 4 * len(terms)]):
+    for k, own in enumerate(bags):
         if any(w.decode("utf-8", "replace") in KIND_OF for w in own):
             pairs.append((own, _swapped(own, k)))
-        # the same sentence without a mention, with one, and with the next of its kind
-        term = terms[k % len(terms)]
-        pairs += [(own, own | {term}), (own | {term}, own | _swapped({term}, k))]
+        if k < mention_rows:
+            # the same sentence without a mention, with one, and with the next of its kind
+            term = terms[k % len(terms)]
+            pairs += [(own, own | {term}), (own | {term}, own | _swapped({term}, k))]
     change = rows([a for a, _ in pairs]) - rows([b for _, b in pairs])
     weights, bias = np.zeros(len(index), np.float32), float(np.log(n1 / n0))
     grown, pull = np.zeros(len(index), np.float32), 0.0
@@ -165,7 +172,7 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY) -> Model:
     for _ in range(ROUNDS):  # Adagrad
         p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
         error = ((p - y) * balance).astype(np.float32)
-        slope = x.T @ error / np.float32(len(y)) + np.float32(RIDGE) * weights + np.float32(penalty) * (change.T @ (change @ weights)) / np.float32(len(change))
+        slope = x.T @ error / np.float32(len(y)) + np.float32(RIDGE) * weights + np.float32(penalty) * (change.T @ (change @ weights)) / np.float32(max(1, len(change)))
         grown += slope**2
         pull += error.mean() ** 2
         weights -= np.float32(0.5) * slope / (np.sqrt(grown) + np.float32(1e-8))
