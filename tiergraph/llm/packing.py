@@ -1,8 +1,9 @@
-"""Best-fit packing by exact-complement hashing.
+"""Best-fit packing with exact complements first.
 
 The plan is made over counts of lengths. There are at most `size` lengths, so the histogram and the plan are bounded
 whatever the corpus. From the longest length down, the rest of a sequence is filled exactly by one, two or three
-lengths found through their sums, as many times as the counts allow; what has no exact complement goes best-fit.
+lengths, as many times as the counts allow; what has no exact complement goes best-fit. Complements are searched over
+the counts of all lengths, which misses none; there is no index of pair and triple sums.
 Pieces then take their places by their rank among pieces of the same length, counted in salted parts.
 """
 
