@@ -41,6 +41,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted once what was made from them is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        """Delete all tables kept so far, and the shuffle files of the jobs that made them."""
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+        release(self.spark)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours below the shared folder."""
     if not path.startswith(shared_root(spark) + "/"):

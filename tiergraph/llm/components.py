@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, remove
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,10 +16,14 @@ def _mark(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (u, v); root is the smallest node of its component."""
+def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of edges (u, v); root is the smallest node of its component.
+
+    The result is a table of scratch; the rounds before it are deleted here.
+    """
+    scratch = scratch or Scratch(edges.sparkSession)
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialise(edges, "cc")
+    edges = scratch.keep(edges, "cc")
     mark = _mark(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +33,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         star = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = star.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(star, "cc")
+        edges = scratch.keep(star, "cc")
+        remove(scratch.spark, scratch.paths.pop(-2))
         before, mark = mark, _mark(edges)
         if before == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_key, materialise, maybe_broadcast, texts_of
+from .common import Scratch, arrow_map, by_key, materialise, maybe_broadcast, texts_of
 from .components import components
 
 SEED = 42
@@ -45,9 +45,8 @@ def shingle_hashes(text: str, width: int = 3) -> np.ndarray:
     return np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], "<u8", count)
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes; no words give zero."""
-    hashes = shingle_hashes(text, width)
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; none give zero."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = np.ascontiguousarray(hashes[at : at + CHUNK])
@@ -55,6 +54,10 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp) with fp as a signed 64-bit number; null text counts as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -75,13 +78,14 @@ def grid_point(fp):
     return total
 
 
-def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+def links(nodes: DataFrame, hot: int = HOT, scratch: Scratch | None = None) -> DataFrame:
     """Edges (u, v) between the distinct values of nodes.fp: all pairs within two bits outside hot grid points, and
     inside those as many as keep the same values connected."""
+    scratch = scratch or Scratch(nodes.sparkSession)
     steps = [0, *(sign << 3 * k for k in range(BITS // SEGMENT) for sign in (1, -1))]
     own = nodes.select("fp", grid_point(F.col("fp")).alias("own"))
     placed = own.select("fp", "own", F.explode(F.array(*[F.lit(s).cast("bigint") for s in steps])).alias("step")).select("fp", (F.col("own") + F.col("step")).alias("point"))
-    crowded = materialise(placed.groupBy("point").count().where(F.col("count") > hot).select("point"), "simhash-hot")
+    crowded = scratch.keep(placed.groupBy("point").count().where(F.col("count") > hot).select("point"), "simhash-hot")
     some_hot = not crowded.isEmpty()
     crowded = maybe_broadcast(crowded, BROADCAST_ROWS) if some_hot else crowded
     cold = placed.join(crowded, "point", "left_anti") if some_hot else placed
@@ -104,9 +108,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Equal fingerprints are one node, so copies and repeated rows aren't expanded into pairs. Null ids are
     skipped in the smallest id of a component. An empty table gives no rows. Other columns aren't read.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col, width), "simhash-fps")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
-    roots = components(links(nodes, hot))
+    with Scratch(docs.sparkSession) as scratch:
+        fps = scratch.keep(fingerprints(docs, id_col, text_col, width), "simhash-fps")
+        return materialise(_named(fps, hot, scratch), "simhash-components")
+
+
+def _named(fps: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
+    nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
+    roots = components(links(nodes, hot, scratch), scratch)
     named = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("linked"))
     named = named.join(nodes.select(F.col("fp").alias("root"), "least"), "root").select("root", F.least("linked", "least").alias("component_id"))
     placed = roots.select("node", "root").unionByName(named.select(F.col("root").alias("node"), "root")).join(named, "root")
@@ -118,12 +127,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, find=near_components) -> DataFrame:
     """One row of docs for each near-duplicate component, with all columns: the one with the smallest id.
 
-    `find` gives the components, as near_components() does; `width` is the number of words in a shingle.
-    Rows without an id come after all others. Of rows of a component that share the smallest id, the first read stays.
+    `find` gives the components, as near_components() does; `width` is the number of words in a shingle. Null and empty
+    texts are alike, texts of any length are read whole, an empty table stays empty, and no column of docs clashes with
+    ours. Rows without an id come after all others. Of rows of a component that share the smallest id, or that have
+    none, the first read stays.
     """
-    found = materialise(find(docs, id_col, text_col, width), "simhash-found")
-    if not found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+    ids = docs.groupBy(docs[id_col].alias("doc_id")).count()
+    if not ids.where("count > 1 OR doc_id IS NULL").isEmpty():
         return _keep_numbered(docs, id_col, text_col, width, find)
+    found = find(docs, id_col, text_col, width)
     dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("_drop_id"))
     dropped = maybe_broadcast(dropped, BROADCAST_ROWS)
     return docs.join(dropped, docs[id_col] == dropped["_drop_id"], "left_anti")
