@@ -1,25 +1,32 @@
 """Exact deduplication by a stateful stream.
 
-Arrivals (digest, identifier, content locator) are streamed through keyed state that lives on disk (RocksDB) and
-never expires. A hit is confirmed on the full bytes of both texts. The state is keyed by digest; rows of one digest
-are combined before the shuffle, so a text with a third of all copies costs one state row per task and batch.
+A store is a folder with the texts that ever arrived and the checkpoint of a stream over them. The stream keeps, for
+each digest, the identifier and the content locator (file and row in the store) of the row that stays, and the number
+of rows. That state lives on disk (RocksDB), never expires, and is carried from run to run: a text that arrives in a
+later run is caught by what earlier runs left. Rows of one digest are combined before the shuffle, so a text with a
+third of all copies costs one state row per task and batch.
+
+On a hit the counterpart is read by its locator, and both texts are compared byte by byte.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_key, materialise, maybe_broadcast, remove, small, work_path
+from .common import Scratch, by_key, materialise, maybe_broadcast, remove, small, work_path
 
 PROVIDER = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition sets megabytes aside
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+#: Files of the store in one micro-batch, so that their number grows with the input.
+BATCH_FILES = 1024
 #: Copies of one text that are compared with one shipped copy of the representative.
 COMPARE_ROWS = 512
 BROADCAST_ROWS = 100_000
@@ -29,80 +36,97 @@ def _digest(text):
     return F.unhex(F.sha2(text, 256))
 
 
-def stream_state(arrivals: DataFrame, path: str, batches: int = 2) -> DataFrame:
-    """Run the arrivals below path through the keyed state; (digest, rep, n) of the final state."""
+def _located(content: DataFrame, *columns: str) -> DataFrame:
+    """Rows of the store with their locator."""
+    return content.select(*columns, F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
+
+
+def update_state(path: str, arrivals: DataFrame, scratch: Scratch) -> DataFrame:
+    """Run what is new in the store at path through its state; (digest, doc_id, locator, n) of the whole state."""
     spark = arrivals.sparkSession
-    state = work_path(spark, "dedup-state")
     before = {k: spark.conf.get(k, None) for k in PROVIDER}
-    files = max(1, -(-len(arrivals.inputFiles()) // batches))
     for k, v in PROVIDER.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files).parquet(path)
-        keyed = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "seq", "locator")).alias("rep"), F.count("*").alias("n"))
-        run = keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
+        stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(f"{path}/content/*")
+        keyed = _located(stream, "digest", "doc_id").groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("rep"), F.count("*").alias("n"))
+        run = keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         run.awaitTermination()
-        rows = spark.read.format("statestore").load(state)
+        rows = spark.read.format("statestore").load(f"{path}/state")
         kept = rows.select("key.digest", F.col("value.max").alias("rep"), F.col("value.count").alias("n"))
-        kept = materialise(kept.select("digest", "rep.doc_id", "rep.seq", "rep.locator", "n"), "dedup-kept")
+        return scratch.keep(kept.select("digest", "rep.doc_id", "rep.locator", "n"), "dedup-kept")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    remove(spark, state)
-    return kept
 
 
-def collisions(docs: DataFrame, kept: DataFrame, digest) -> DataFrame:
-    """(digest) of groups in which some text differs in its bytes from the representative's.
+def collisions(arrived: DataFrame, everything: DataFrame, kept: DataFrame) -> DataFrame:
+    """(digest) of hits in which some arrived text differs in its bytes from that at the locator of the row that stays.
 
-    Copies of a large group are spread over salts, and the representative's text is sent to each salt.
+    Copies of a large group are spread over salts, and the text at the locator is sent to each salt.
     """
-    groups = kept.where("n > 1").select("digest", F.col("doc_id").alias("rep_id"), "n", F.ceil(F.col("n") / COMPARE_ROWS).cast("int").alias("parts"))
-    texts = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    # a few groups are broadcast whole; else groups with many copies alone are
-    hits = texts.join(F.broadcast(groups), "digest") if small(groups, BROADCAST_ROWS) else by_key(texts, groups, "digest", kept)
-    copies = hits.select("digest", "text", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("salt"))
-    # any row with the representative's id: if several differ, one comparison below still shows it
-    first = hits.where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).dropDuplicates(["digest"])
-    first = first.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("text").alias("rep_text"))
-    return copies.join(first, ["digest", "salt"]).where("text != rep_text").select("digest").distinct()
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=_digest) -> DataFrame:
+    groups = kept.where("n > 1").select("digest", F.col("locator").alias("at"), "n", F.ceil(F.col("n") / COMPARE_ROWS).cast("int").alias("parts"))
+    few = small(groups, BROADCAST_ROWS)
+
+    def hits(rows: DataFrame) -> DataFrame:
+        # a few groups are broadcast whole; else groups with many copies alone are
+        return rows.join(F.broadcast(groups), "digest") if few else by_key(rows, groups, "digest", kept)
+
+    copies = hits(_located(arrived, "digest", "text")).where("locator != at").select("digest", "text", F.pmod(F.xxhash64("locator"), F.col("parts")).cast("int").alias("salt"))
+    first = hits(_located(everything, "digest", "text")).where("locator = at")
+    first = first.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("text").alias("kept_text"))
+    return copies.join(first, ["digest", "salt"]).where("text != kept_text").select("digest").distinct()
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=_digest, store: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest identifier stays. Null text counts as empty; a null identifier is less
     than any other; of rows that repeat both identifier and text, one is kept. An empty table gives no rows. Other
     columns of docs aren't read. Texts that differ under one digest are told apart by their bytes.
+
+    store is a path below which texts and state are kept, so that the next run counts this one's rows too; group_size
+    and keep_id are then those of all runs so far. Without one, both are deleted at the end.
     """
     spark = docs.sparkSession
+    path = store or work_path(spark, "dedup-store")
     plain = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    arrivals_path = work_path(spark, "dedup-arrivals")
-    located = plain.select(
-        "doc_id", F.monotonically_increasing_id().alias("seq"), F.input_file_name().alias("locator"), digest(F.col("text")).alias("digest"), F.unhex(F.sha2("text", 256)).alias("sha")
-    )
-    located.write.parquet(arrivals_path)
-    arrivals = spark.read.schema(located.schema).parquet(arrivals_path)
-    kept = stream_state(arrivals, arrivals_path)
-    bad = materialise(collisions(plain, kept, digest), "dedup-collisions")
-    state = kept.select("digest", F.col("doc_id").alias("keep_id"), F.col("seq").alias("keep_seq"), F.col("n").alias("group_size"), "n")
-    out = arrivals.drop("locator")
-    collided = not bad.isEmpty()
-    clean = out.join(F.broadcast(bad) if collided else bad, "digest", "left_anti") if collided else out
-    clean = by_key(clean, state, "digest", kept).select("doc_id", "keep_id", "group_size", (F.col("seq") == F.col("keep_seq")).alias("kept"), "sha")
-    if collided:
-        # equal digests, different bytes: the text itself is the key
-        text = plain.select("doc_id", "text", digest(F.col("text")).alias("digest"), F.unhex(F.sha2("text", 256)).alias("sha")).join(bad, "digest", "left_semi")
-        groups = text.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        rows = text.join(groups, ["digest", "text"])
-        first = F.row_number().over(W.partitionBy("digest", "text", "doc_id").orderBy("sha"))
-        clean = clean.unionByName(rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (first == 1)).alias("kept"), "sha"))
-    return clean.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    plain = plain.select("doc_id", digest(F.col("text")).alias("digest"), "text")
+    run = f"{path}/content/{uuid.uuid4().hex}"
+    plain.write.option("compression", "zstd").parquet(run)
+    arrived = spark.read.schema(plain.schema).parquet(run)
+    if not arrived.inputFiles():
+        return arrived.limit(0).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
+    everything = spark.read.schema(plain.schema).parquet(f"{path}/content/*") if store else arrived
+    with Scratch(spark) as scratch:
+        kept = update_state(path, arrived, scratch)
+        bad = scratch.keep(collisions(arrived, everything, kept), "dedup-collisions")
+        state = kept.select("digest", F.col("doc_id").alias("keep_id"), F.col("locator").alias("at"), F.col("n").alias("group_size"), "n")
+        sha = F.col("digest") if digest is _digest else F.unhex(F.sha2("text", 256))
+        clean = _located(arrived, "doc_id", "digest", sha.alias("sha"))
+        collided = not bad.isEmpty()
+        if collided:
+            clean = clean.join(maybe_broadcast(bad, BROADCAST_ROWS), "digest", "left_anti")
+        clean = by_key(clean, state, "digest", kept).select("doc_id", "keep_id", "group_size", (F.col("locator") == F.col("at")).alias("kept"), "sha")
+        if collided:
+            # equal digests, different bytes: the text itself is the key
+            text = _located(everything, "doc_id", "digest", "text").join(maybe_broadcast(bad, BROADCAST_ROWS), "digest", "left_semi")
+            groups = text.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "locator")).alias("rep"), F.count("*").alias("group_size"))
+            mine = _located(arrived, "doc_id", "digest", "text").join(groups, ["digest", "text"])
+            clean = clean.unionByName(mine.select("doc_id", F.col("rep.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("rep.locator")).alias("kept"), F.unhex(F.sha2("text", 256)).alias("sha")))
+        out = materialise(clean.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")), "dedup-verdict")
+    if not store:
+        remove(spark, path)
+    return out
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    verdict = materialise(exact_dedup(docs, id_col, text_col), "dedup-verdict")
+    """The rows of docs that exact_dedup keeps, with all their columns.
+
+    Null and empty texts are equal; rows without an identifier go where an equal text has one; of rows that repeat both
+    identifier and text, one stays; an empty table stays empty; no column of docs clashes with ours.
+    """
+    verdict = exact_dedup(docs, id_col, text_col)
     dropped = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha"))
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
     repeated = not verdict.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty()
@@ -117,5 +141,3 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return docs.join(kept, docs[id_col].eqNullSafe(kept["_drop_id"]) & (sha == kept["_drop_sha"]), "left_semi")
     dropped = maybe_broadcast(dropped, BROADCAST_ROWS)
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_drop_id"]) & (sha == dropped["_drop_sha"]), "left_anti")
-
-
