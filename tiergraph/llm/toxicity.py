@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +30,12 @@ ROW_CHARS = 1_000_000
 FEATURES = 2000
 LEAST_ROWS = 3
 EVIDENCE = 16.0
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 RIDGE = 2e-4
 PENALTY = 4.0
 ROUNDS = 300
-CACHE = 300_000
+#: Words kept at a time in one Python worker.
+CACHE = 50_000
 #: Kinds of identity terms; a term is swapped within its kind.
 IDENTITIES = {
     "gender": "woman women man men girl girls boy boys female male frau frauen mann männer femme femmes homme hommes mujer mujeres hombre hombres transgender nonbinary",
@@ -128,26 +128,29 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, mention_r
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, 20.0 if len(y) and y[0] else -20.0)
-    bags = [words(t) for t in texts]
-    seen = (Counter(), Counter())
+    # each distinct word once, and texts as arrays of word numbers, so that the sample takes little memory
+    number: dict[bytes, int] = {}
+    bags = [np.unique(np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32)) for t in texts]
+    names: dict[bytes, int] = {}
+    known = [np.array([names.setdefault(f, len(names)) for f in features(w)], np.int32) for w in number]
+    every = list(names)
+
+    def held(own: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([known[w] for w in own])) if len(own) else own
+
+    seen = np.zeros((2, len(every)), np.int64)
     for own, label in zip(bags, labels, strict=True):
-        seen[label].update({f for w in own for f in features(w)})
+        seen[label][held(own)] += 1
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    gain = {}
-    for f, a in seen[1].items():
-        b = seen[0][f]
-        # only what stands out by its likelihood ratio, so that few labelled rows give few features
-        if a + b >= LEAST_ROWS and (g := _evidence(a, n1, b, n0)) >= EVIDENCE:
-            gain[f] = g
-    for f, b in seen[0].items():
-        if f not in seen[1] and b >= LEAST_ROWS and (g := _evidence(0, n1, b, n0)) >= EVIDENCE:
-            gain[f] = g
-    gain = dict(sorted(gain.items(), key=lambda x: (-x[1], x[0]))[:FEATURES])
-    chosen = list(gain)
-    del seen
+    # only what stands out by its likelihood ratio, so that few labelled rows give few features
+    often = np.flatnonzero(seen.sum(axis=0) >= LEAST_ROWS)
+    gain = {every[f]: _evidence(int(seen[1][f]), n1, int(seen[0][f]), n0) for f in often.tolist()}
+    gain = {f: g for f, g in gain.items() if g >= EVIDENCE}
+    chosen = sorted(gain, key=lambda f: (-gain[f], f))[:FEATURES]
     terms = [t.encode() for t in KIND_OF]
-    chosen += [t for t in dict.fromkeys(terms) if t not in gain]
+    chosen += [t for t in dict.fromkeys(terms) if t not in set(chosen)]
     index = {f: i for i, f in enumerate(chosen)}
+    word_of = list(number)
 
     def rows(bags: list[set[bytes]]) -> np.ndarray:
         out = np.zeros((len(bags), len(index)), np.float32)
@@ -155,16 +158,23 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, mention_r
             out[r, [index[f] for w in own for f in features(w) if f in index]] = 1
         return out
 
-    x = rows(bags)
+    column = np.array([index.get(f, -1) for f in every], np.int64)
+    x = np.zeros((len(bags), len(index)), np.float32)
+    for r, own in enumerate(bags):
+        at = column[held(own)]
+        x[r, at[at >= 0]] = 1
     pairs = []
     for k, own in enumerate(bags):
+        own = {word_of[w] for w in own} if k < mention_rows or any(word_of[w].decode("utf-8", "replace") in KIND_OF for w in own) else set()
         if any(w.decode("utf-8", "replace") in KIND_OF for w in own):
             pairs.append((own, _swapped(own, k)))
         if k < mention_rows:
             # the same sentence without a mention, with one, and with the next of its kind
             term = terms[k % len(terms)]
             pairs += [(own, own | {term}), (own | {term}, own | _swapped({term}, k))]
-    change = rows([a for a, _ in pairs]) - rows([b for _, b in pairs])
+    change = rows([a for a, _ in pairs])
+    change -= rows([b for _, b in pairs])
+    del pairs, bags, known
     weights, bias = np.zeros(len(index), np.float32), float(np.log(n1 / n0))
     grown, pull = np.zeros(len(index), np.float32), 0.0
     balance = np.where(y == 1, max(1.0, n0 / n1 / 2), 1.0)
