@@ -2,8 +2,8 @@
 
 The plan is made over counts of lengths. There are at most `size` lengths, so the histogram and the plan are bounded
 whatever the corpus. From the longest length down, the rest of a sequence is filled exactly by one, two or three
-lengths, as many times as the counts allow; what has no exact complement goes best-fit. Complements are searched over
-the counts of all lengths, which misses none; there is no index of pair and triple sums.
+lengths, as many times as the counts allow; what has no exact complement goes best-fit. Single, pair and triple sums are
+indexed by hash under the counts, so no exact filling is missed and no combination is tried twice.
 Pieces then take their places by their rank among pieces of the same length, counted in salted parts.
 """
 
@@ -24,8 +24,9 @@ from .tokens import encoder
 
 SIZE = 2048
 END_ID = 0
-#: Parts in which the pieces of one length are ranked.
-SALTS = 256
+#: Pieces for each of the parts in which the pieces of one length are ranked; at least LEAST_SALTS parts.
+SALT_ROWS = 50_000
+LEAST_SALTS = 256
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,31 +49,50 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     return arrow_map(texts_of(docs, id_col, text_col), cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _complement(count: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that add up to gap, the longest first."""
-    if count[gap]:
-        return [gap]
-
-    def pair(gap: int, most: int) -> list[int] | None:
-        # a >= b, a <= most, a + b = gap
-        low, high = (gap + 1) // 2, min(most, gap - 1)
-        if high < low:
-            return None
-        a = np.arange(high, low - 1, -1)
-        fits = (count[a] > 0) & (count[gap - a] > (a == gap - a))
-        at = int(fits.argmax()) if fits.any() else -1
-        return [int(a[at]), gap - int(a[at])] if at >= 0 else None
-
-    if found := pair(gap, gap - 1):
-        return found
-    for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
-        if count[a]:
-            count[a] -= 1
-            found = pair(gap - a, a)
-            count[a] += 1
-            if found:
-                return [a, *found]
-    return None
+class Complements:
+    """Hash index of the sums of one, two and three available lengths.
+
+    For each sum that is asked for, the index holds where in the descending order of its combinations the first one that
+    is still available stands. Counts only fall while packing, so what is passed over never comes back, and no
+    combination is tried twice for a sum.
+    """
+
+    def __init__(self, count: np.ndarray):
+        self.count = count
+        self.pairs: dict[int, int] = {}
+        self.triples: dict[int, int] = {}
+
+    def pair(self, total: int, held: int = 0) -> tuple[int, int] | None:
+        """Two that add up to total, the longer first; one of the length held is spoken for."""
+        count, a, lasting = self.count, self.pairs.get(total, total - 1), None
+        while 2 * a >= total:
+            b = total - a
+            if count[a] and count[b] > (a == b):
+                if count[a] > (a == held) and count[b] > (a == b) + (b == held):
+                    self.pairs[total] = a if lasting is None else lasting
+                    return a, b
+                lasting = a if lasting is None else lasting  # gone only while one is held
+            a -= 1
+        self.pairs[total] = a if lasting is None else lasting
+        return None
+
+    def triple(self, total: int) -> list[int] | None:
+        """Three that add up to total, one of them with the pair that fills what it leaves."""
+        c = self.triples.get(total, 1)
+        while 3 * c <= total:
+            if self.count[c] and (found := self.pair(total - c, held=c)):
+                self.triples[total] = c
+                return sorted((*found, c), reverse=True)
+            c += 1
+        self.triples[total] = c
+        return None
+
+    def fill(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths that add up to gap."""
+        if self.count[gap]:
+            return [gap]
+        found = self.pair(gap) or self.triple(gap)
+        return list(found) if found else None
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
@@ -84,10 +104,11 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], i
     if count[size]:
         made.append(([size], int(count[size])))
         count[size] = 0
+    sums = Complements(count)
     for length in range(size - 1, 0, -1):
         while count[length]:
             count[length] -= 1
-            found = _complement(count, size - length)
+            found = sums.fill(size - length)
             count[length] += 1
             if not found:
                 break
@@ -159,7 +180,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
     rows. Other columns aren't read. Sequences are numbered from 0 without gaps, and pieces in one have no gaps.
     """
     cut = pieces(docs, tokenizer, size, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
-    cut = materialise(cut, "pack-pieces").withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+    cut = materialise(cut, "pack-pieces")
+    salts = max(LEAST_SALTS, cut.count() // SALT_ROWS)
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
     counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     # at most size rows reach the driver
     made = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
