@@ -4,15 +4,16 @@ A store is a folder of shards in ascending order of doc_id and a table of shards
 
     frame*  index  seek table
 
-Frames are ordinary zstandard frames, each of whole documents' ids (little-endian unsigned 32-bit). The index and the
+Frames are ordinary zstandard frames, one for each document (little-endian unsigned 32-bit ids). The index and the
 seek table stand in skippable frames, so any zstandard reader passes over them. The index has, for each document, the
 id, whether it is null, its frame, where it begins in that frame and its number of ids. The seek table is that of the
 public seekable format: compressed size, size and checksum (lower half of XXH64) of each frame, then the number of
 frames, a descriptor and a magic number, so it is found from the end of the file. A reader decompresses just the frames
 of the documents that it wants and checks each frame.
 
-A task writes a shard under a name of its own; the table of shards names those of the tasks that Spark committed, so
-files of failed or repeated attempts are never read.
+A task writes shards of bounded size, each under a name of its own; the table of shards names those of the tasks that Spark committed, so
+files of failed or repeated attempts are never read. The table has the least and greatest id of each shard, so a look-up
+opens only the shards that may hold an id.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,11 @@ from .common import ARROW_ROWS, partitions, texts_of, work_path
 from .tokens import encoder
 
 END_ID = 2
-FRAME_BYTES = 1 << 20
+#: Bytes of ids that are put together into a frame before the next begins; at 1, each document has its own.
+FRAME_BYTES = 1
+#: Documents and bytes of ids in one shard, after which the next begins: bounds the index that a reader loads.
+SHARD_DOCS = 250_000
+SHARD_BYTES = 1 << 30
 LEVEL = 3
 #: Fixed values of the public seekable format and of skippable frames.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -67,7 +73,7 @@ class ShardWriter:
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self._out = fs.open_output_stream(path, compression=None)
         self._held: list[bytes] = []
-        self._size = 0
+        self._size = self.bytes = 0
         self._zip = zstandard.ZstdCompressor(level=LEVEL)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -76,6 +82,7 @@ class ShardWriter:
         self.index.append((doc_id or 0, doc_id is None, len(self.frames), self._size, len(ids) // 4))
         self._held.append(ids)
         self._size += len(ids)
+        self.bytes += len(ids)
 
     def _flush(self) -> None:
         whole = b"".join(self._held)
@@ -146,7 +153,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     """Write docs as a store at path; the table of shards (shard, uri, docs, ids).
 
     Null text is empty, so such a document has just the end id. Rows that share an id stay as they are, in the order
-    of their texts. A null id comes first. An empty table gives no shards.
+    of their texts. A null id comes first; ids are whole numbers, and any other type is an error. An empty table gives
+    no shards. Other columns aren't read.
     """
     spark = docs.sparkSession
     spark.conf.set(ARROW_ROWS, "512")
@@ -157,42 +165,59 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, uri, out, ids = TaskContext.get().partitionId(), f"{path}/shards/{uuid.uuid4().hex}.zst", None, 0
+        part, out, n = TaskContext.get().partitionId(), None, 0
         tool = encoder(tokenizer)
+
+        def finish() -> pa.RecordBatch:
+            out.close()
+            known = [d for d, null, *_ in out.index if not null]
+            row = {"part": part, "shard": n, "uri": out.uri, "docs": len(out.index), "ids": out.bytes // 4, "nulls": len(out.index) - len(known), "low": min(known, default=None), "high": max(known, default=None)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([(k, pa.int32() if k in ("part", "shard") else pa.string() if k == "uri" else pa.int64()) for k in row]))
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = out or ShardWriter(uri)
-                found = tool.encode(text) + end
-                out.add(doc_id, found)
-                ids += len(found) // 4
+                if out and (len(out.index) >= SHARD_DOCS or out.bytes >= SHARD_BYTES):
+                    yield finish()
+                    out, n = None, n + 1
+                out = out or ShardWriter(f"{path}/shards/{uuid.uuid4().hex}.zst")
+                out.add(doc_id, tool.encode(text) + end)
         if out:
-            out.close()
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": uri, "docs": len(out.index), "ids": ids}], pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+            yield finish()
 
-    dealt.mapInArrow(write, "shard int, uri string, docs bigint, ids bigint").write.parquet(f"{path}/table")
+    dealt.mapInArrow(write, TABLE).write.parquet(f"{path}/table")
     return shards(spark, path)
 
 
+#: The table of shards: part and shard give their order, low and high the least and greatest id.
+TABLE = "part int, shard int, uri string, docs bigint, ids bigint, nulls bigint, low bigint, high bigint"
+
+
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("shard int, uri string, docs bigint, ids bigint").parquet(f"{path}/table")
+    return spark.read.schema(TABLE).parquet(f"{path}/table")
 
 
 def _by_shard(table: DataFrame, fn, schema: str) -> DataFrame:
     """fn(uri, base) for each shard, in a task of its own; base is the number of ids in the shards before."""
-    # a row a shard, so the running sum in one task stays small
-    based = table.withColumn("base", F.coalesce(F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    dealt = based.select("shard", "uri", "base").repartitionByRange(max(1, min(table.count(), 10_000)), "shard")
+    # ids are summed by part first: a row for each writing task, so the running sum in one task stays small
+    parts = table.groupBy("part").agg(F.sum("ids").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum("ids").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    based = table.withColumn("inside", inside).join(F.broadcast(parts), "part").select("part", "shard", "uri", (F.col("before") + F.col("inside")).alias("base"))
+    dealt = based.repartitionByRange(max(1, min(table.count(), 10_000)), "part", "shard").select("uri", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, uri, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uri, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield from fn(uri, base)
 
     return dealt.mapInArrow(run, schema)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
+
+    A null id is null here too; rows that share an id are each given; an empty store gives no rows.
+    """
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def digest(uri: str, base: int) -> Iterator[pa.RecordBatch]:
@@ -210,7 +235,15 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, ids array<bigint>) of the documents asked for, or of all; only their frames are decompressed."""
+    """(doc_id, ids array<bigint>) of the documents asked for, or of all; only their frames are decompressed.
+
+    Shards that can't hold an id aren't opened. An id that isn't there gives no row, one that several rows share gives
+    them all; rows without an id come only where all are asked for.
+    """
+    table = shards(spark, path)
+    if doc_ids is not None:
+        wanted = [F.col("low").isNotNull() & (F.col("low") <= d) & (F.col("high") >= d) for d in doc_ids]
+        table = table.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
 
     def take(uri: str, base: int) -> Iterator[pa.RecordBatch]:
         reader = ShardReader(uri)
@@ -220,7 +253,7 @@ def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -
             ids = np.frombuffer(reader.ids(row), "<u4").astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([None if null else int(doc_id)], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return _by_shard(shards(spark, path), take, "doc_id bigint, ids array<bigint>")
+    return _by_shard(table, take, "doc_id bigint, ids array<bigint>")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
