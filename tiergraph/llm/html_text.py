@@ -11,8 +11,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +37,8 @@ ARTICLES = frozenset(("article", "main"))
 PIECES = INLINE | frozenset("blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup li ol p pre summary table tbody td tfoot th thead tr ul".split())
 TAG_COST = -0.2
 LEAST = -1.0
+#: Share of a page's words from which on the class of the element that holds them doesn't speak against it.
+NEARLY_ALL = 0.7
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[A-Za-z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
@@ -54,14 +58,15 @@ LABELLED = (
     '<html><body><nav><ul><li><a>one</a></li><li><a>two</a></li></ul></nav><div class="ad">a short advert text of words</div><article>{{<h1>Some head line</h1><p><b>First words of the text.<br><p>Then the next paragraph of it.</p><p>And one more.</p><pre>code line</pre><figure><figcaption>a caption</figcaption></figure>}}</article><footer>&copy; site</footer></body></html>',
     '<html><body><div class="topbar header masthead">a name</div><div class="alert warning notification popup modal overlay dialog">please note this</div><section class="story text">{{<h3>Part</h3><p>Words of a section that matter.</p><dl><dt>term</dt><dd>what it means</dd></dl><details><summary>more</summary>inner words</details>}}</section>'
     '<div class="pagination pager">next page</div><div hidden>not shown here</div><div style="display:none" class="x">nor is this</div><div class="recommended recommendations trending outbrain taboola">you may like</div><menu class="toolbar">tools</menu><select><option>pick me</option></select><dialog>an offer</dialog><div class="disqus respond feedback">say something</div><div class="skip breadcrumbs tagcloud">skip to text</div></body></html>',
+    '<html><body><div class="toc contents-table">part one part two</div><div class="infobox factbox">short facts about it</div><article><div class="teaser teasers more-stories more stories readmore">other stories to read</div>{{<h1>A head line of words</h1><p>Words of the story that go on for a while.</p>}}<div class="paywall meter regwall premium">pay to read on</div>{{<p>The story ends with these words.</p>}}</article>'
+    '<section class="discussion discussions thread threads">what readers say here</section><div class="responses response replies">their answers to it</div><div class="talkback guestbook reader-comments user-comments">more of what they say</div></body></html>',
     '<html><body><div role="navigation">go there</div><div role="banner">name</div><div role="search">find</div><div role="complementary">aside words</div><div role="main">{{<section><h2>Head</h2><p>Long text of words and more words.</p></section>}}</div><div role="contentinfo">who made it</div><address class="byline author">by a writer</address></body></html>',
 )
 
 
-def _features(name: str, attributes: str, within: frozenset[str] | set[str]) -> list[str]:
+def _features(name: str, attributes: str, in_article: bool) -> list[str]:
     """What an element is known by: its name (apart inside articles) and the words of its class, id and role."""
-    inside = "article/" if name == "header" and within & ARTICLES else ""
-    out = [inside + name]
+    out = ["article/" + name if name == "header" and in_article else name]
     if attributes:
         for found in _CLASS.finditer(attributes):
             value = (found[1] or found[2] or found[3] or "").lower()
@@ -91,8 +96,8 @@ def tokens(page: str):
 class Element:
     __slots__ = ("features", "first", "last", "name", "parent", "weight")
 
-    def __init__(self, name: str, parent: Element | None, features: list[str], weight: float, first: int):
-        self.name, self.parent, self.features, self.weight, self.first, self.last = name, parent, features, weight, first, first
+    def __init__(self, name: str, parent: Element | None, features: list[str], first: int):
+        self.name, self.parent, self.features, self.weight, self.first, self.last = name, parent, features, 1.0, first, first
 
     def line(self):
         """The element and those around it, outwards, without the root."""
@@ -102,53 +107,104 @@ class Element:
             element = element.parent
 
 
-def _close(stack: list[Element], to: int, at: int) -> None:
-    while len(stack) > to:
-        stack.pop().last = at
+#: Elements at which the search for an open paragraph or sibling stops.
+_STOPS = ENDS_P | {"p", "td", "th", "li"}
+_LISTED = frozenset(ENDS_SIBLING) | {x for lists in ENDS_SIBLING.values() for x in lists}
+
+
+class _Open:
+    """The open elements, and the places in them of those that decide what an opening tag ends."""
+
+    def __init__(self, root: Element):
+        self.stack, self.count = [root], Counter()
+        self.stops: list[int] = []
+        self.listed: list[int] = []
+
+    def push(self, element: Element) -> None:
+        if element.name in _STOPS:
+            self.stops.append(len(self.stack))
+        if element.name in _LISTED:
+            self.listed.append(len(self.stack))
+        self.stack.append(element)
+        self.count[element.name] += 1
+
+    def close(self, to: int, at: int) -> None:
+        while len(self.stack) > to:
+            element = self.stack.pop()
+            element.last = at
+            self.count[element.name] -= 1
+        for places in (self.stops, self.listed):
+            while places and places[-1] >= to:
+                places.pop()
+
+    def end(self, name: str, at: int) -> None:
+        if self.count[name]:
+            k = len(self.stack) - 1
+            while self.stack[k].name != name:
+                k -= 1
+            self.close(k, at)
+
+    def begin(self, name: str, at: int) -> None:
+        """End what the opening tag of name ends."""
+        if name in ENDS_P:
+            if self.stops and self.stack[self.stops[-1]].name == "p":
+                self.close(self.stops[-1], at)
+        elif name in ENDS_SIBLING:
+            alike = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, (name,))
+            if any(self.count[x] for x in alike):
+                for k in reversed(self.listed):
+                    if self.stack[k].name in alike:
+                        self.close(k, at)
+                        break
+                    if self.stack[k].name in ENDS_SIBLING[name]:
+                        break
 
 
 def outline(page: str, known: dict[str, float]):
     """Text runs (place, element, text), places of tags that end a block, and the number of tokens."""
-    root = Element("", None, [], 1.0, 0)
-    stack, runs, breaks = [root], [], []
+    root = Element("", None, [], 0)
+    tree, runs, breaks, elements = _Open(root), [], [], []
     at = 0
     for kind, value in tokens(page):
         if kind == "text":
-            runs.append((at, stack[-1], value))
+            runs.append((at, tree.stack[-1], value))
         elif kind == "tag":
             end, name, attributes = value
             if name not in INLINE:
                 breaks.append(at)
             if end:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        _close(stack, k, at)
-                        break
+                tree.end(name, at)
             else:
-                if name in ENDS_P:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].name == "p":
-                            _close(stack, k, at)
-                            break
-                        if stack[k].name in ENDS_P or stack[k].name in ("td", "th", "li"):
-                            break
-                elif name in ENDS_SIBLING:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].name == name or (name in ("td", "th") and stack[k].name in ("td", "th")) or (name in ("dt", "dd") and stack[k].name in ("dt", "dd")):
-                            _close(stack, k, at)
-                            break
-                        if stack[k].name in ENDS_SIBLING[name]:
-                            break
+                tree.begin(name, at)
                 if name not in VOID and not attributes.endswith("/"):
-                    features = _features(name, attributes, {e.name for e in stack})
-                    least = min((known.get(f, 0.0) for f in features), default=0.0)
-                    # words score 1 unless something around them speaks clearly against main text
-                    stack.append(Element(name, stack[-1], features, min(least if least < LEAST else 1.0, stack[-1].weight), at))
+                    inside = any(tree.count[x] for x in ARTICLES)
+                    elements.append(Element(name, tree.stack[-1], _features(name, attributes, inside), at))
+                    tree.push(elements[-1])
         at += 1
-    _close(stack, 0, at)
+    tree.close(0, at)
+    _weigh(elements, runs, known)
     return runs, breaks, at
 
 
+def _weigh(elements: list[Element], runs: list, known: dict[str, float]) -> None:
+    """Words score 1 unless an element around them speaks clearly against main text.
+
+    What the words of an element's class say is added up, so one of them doesn't outweigh the others. Classes don't
+    speak against an element that holds nearly all words of the page.
+    """
+    places = [place for place, _, _ in runs]
+    before = [0, *accumulate(len(text.split()) for _, _, text in runs)]
+    for e in elements:  # outer ones come first
+        own = [known.get(f, 0.0) for f in e.features]
+        worst = own[0] if e.features[-1] != "hidden" else min(own[0], own[-1])
+        classes = sum(own[1:])
+        if classes < LEAST and min(own[1:]) < LEAST:
+            words = before[bisect_right(places, e.last)] - before[bisect_left(places, e.first)]
+            if words < NEARLY_ALL * before[-1]:
+                worst = min(worst, min(own[1:]))
+        e.weight = min(worst if worst < LEAST else 1.0, e.parent.weight)
+
+
 @lru_cache(maxsize=4)
 def weights(pages: tuple[str, ...] = LABELLED) -> dict[str, float]:
     """Log-odds of main text for words in an element with a feature, from labelled pages."""
@@ -191,16 +247,18 @@ def extract(page: str, known: dict[str, float] | None = None) -> str:
     first, last = part
     words = [(place, e) for place, e, text in runs if e.weight > 0 and not text.isspace()]
     around = [e for place, e in words if first <= place <= last]
-    shared = list(around[0].line())
-    for e in around[1:]:
-        own = set(map(id, e.line()))
-        shared = [x for x in shared if id(x) in own]
+    # elements are nested, so one around the first word holds them all if it ends behind the last
+    furthest = max(place for place, _ in words if first <= place <= last)
+    shared = [e for e in around[0].line() if e.last >= furthest]
+    outer = max((k for k, e in enumerate(shared) if e.name in ARTICLES), default=-1)
+    places = [place for place, _ in words]
     # words that score below zero have gone, so no element around the others speaks against main text
     for k, holder in enumerate(shared):
         if holder.name in PIECES:
             continue
-        alone = all(first <= place <= last for place, _ in words if holder.first <= place <= holder.last)
-        if alone and any(x.name in ARTICLES for x in shared[k + 1 :]):
+        begin, end = bisect_left(places, holder.first), bisect_right(places, holder.last)
+        alone = begin == end or first <= places[begin] and places[end - 1] <= last
+        if alone and k < outer:
             continue  # wraps this part only, and an article is around it
         first, last = min(first, holder.first), max(last, holder.last)
         break
