@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; our own only where the session names none (tests)."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tiergraph-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return root.rstrip("/")
