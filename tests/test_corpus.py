@@ -127,7 +127,7 @@ def test_sheets(corpus, tmp_path):
     rows = {(r.session, r.bundle): r.asDict() for r in metadata.sheet(corpus, "bundles").collect()}
     assert rows["S1", "B1"]["Speaker"] == "S001" and rows["S2", "B3"]["Country"] is None and "Gender" in rows["S2", "B3"]
     text = (next((tmp_path / "sessions").glob("part-*.csv"))).read_text()
-    assert "Northern" in "".join(p.read_text() for p in (tmp_path / "sessions").glob("part-*.csv")) and text.startswith("session,")
+    assert "Northern" in "".join(p.read_text() for p in (tmp_path / "sessions").glob("part-*.csv")) and text.startswith("db_uuid,session,")
     for p in (tmp_path / "sessions").glob("*.csv"):
         changed = p.read_text().replace("Northern", "Southern")
         p.unlink()

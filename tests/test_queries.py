@@ -32,4 +32,9 @@ def test_entry(spark):
 
 def test_label_filters_reach_the_scan(spark):
     plan = QUERIES["eql_seq_span"](spark, SF)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(name" in plan and "EqualTo(label,A)" in plan and "CartesianProduct" not in plan
+    assert "PartitionFilters: [isnotnull(level" in plan and "EqualTo(label,A)" in plan and "CartesianProduct" not in plan
+
+
+def test_a_label_filter_shuffles_nothing(spark):
+    plan = QUERIES["eql_eq"](spark, SF)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "PartitionFilters: [isnotnull(level" in plan

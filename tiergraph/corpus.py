@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from . import schemas as S
 from .operators import metadata, navigate
 from .plans import eql
-from .plans.compile import Compiler, segments
+from .plans.compile import Compiler, own_labels, segments
 from .plans.hierarchy import Hierarchy
 
 SCHEMAS = {"bundles": S.BUNDLE, "items": S.ITEMS, "labels": S.LABELS, "links": S.LINKS, "meta_bundle": S.META_BUNDLE, "meta_session": S.META_SESSION, "meta_database": S.META_DATABASE}
 #: Stored in folders by these columns, which each query names: it reads the folders of its levels and attributes alone.
-FOLDERS = {"items": "level", "labels": "name"}
+FOLDERS = {"items": "level", "labels": "name", "nodes": "level"}
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,12 @@ class Corpus:
     meta_session: DataFrame
     meta_database: DataFrame
     config: dict = field(default_factory=dict)
+    #: Items with their own label as they were stored, so that queries by it read one table and join nothing.
+    stored_nodes: DataFrame | None = None
+
+    @property
+    def nodes(self) -> DataFrame:
+        return own_labels(self.items, self.labels) if self.stored_nodes is None else self.stored_nodes
 
     @classmethod
     def of(cls, spark: SparkSession, hierarchy: Hierarchy, config: dict | None = None, **tables: DataFrame) -> Corpus:
@@ -42,10 +48,10 @@ class Corpus:
         return cls(spark, hierarchy, config=config or {}, **made)
 
     def replace(self, **tables) -> Corpus:
-        return replace(self, **tables)
+        return replace(self, **{"stored_nodes": None if {"items", "labels"} & tables.keys() else self.stored_nodes} | tables)
 
     def compiler(self, **options) -> Compiler:
-        return Compiler(self.items, self.labels, self.links, self.hierarchy, **options)
+        return Compiler(self.nodes, self.items, self.labels, self.links, self.hierarchy, **options)
 
     def query(self, text: str, ordered: bool = False, **options) -> DataFrame:
         """Result rows of a query; see plans.compile.Compiler for options."""
@@ -103,7 +109,7 @@ class Corpus:
 
     def save(self, path: str) -> Corpus:
         """Write the tables and read them back."""
-        for name in SCHEMAS:
+        for name in (*SCHEMAS, "nodes"):
             writer = getattr(self, name).write.mode("overwrite")
             (writer.partitionBy(FOLDERS[name]) if name in FOLDERS else writer).parquet(f"{path}/{name}")
         config = json.dumps(self.config | self.hierarchy.to_config())
@@ -113,4 +119,5 @@ class Corpus:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Corpus:
         config = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/config").limit(1000).toLocalIterator()))
-        return cls(spark, Hierarchy.from_config(config), config=config, **{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()})
+        nodes = spark.read.schema(S.NODES).parquet(f"{path}/nodes")
+        return cls(spark, Hierarchy.from_config(config), config=config, stored_nodes=nodes, **{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()})

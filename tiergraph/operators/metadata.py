@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import KEYS
+
 TAGS = {bool: "logical", int: "integer", float: "numeric", str: "character"}
 
 
@@ -34,7 +36,7 @@ def decode(value: Column, tag: str) -> Column:
 
 
 def long(corpus) -> DataFrame:
-    """(session, bundle, field_name, field_value, field_type): each bundle's values after inheritance."""
+    """(db_uuid, session, bundle, field_name, field_value, field_type): each bundle's values after inheritance."""
     bundles = corpus.bundles.select("db_uuid", "session", F.col("name").alias("bundle"))
     own = corpus.meta_bundle.select("db_uuid", "session", "bundle", "field_name", "field_value", "field_type", F.lit(1).alias("priority"))
     session = bundles.join(corpus.meta_session, ["db_uuid", "session"]).select("db_uuid", "session", "bundle", "field_name", "field_value", "field_type", F.lit(2).alias("priority"))
@@ -42,13 +44,13 @@ def long(corpus) -> DataFrame:
     every = own.unionByName(session).unionByName(database)
     # combined before the shuffle, where a window would sort every value
     best = every.groupBy("db_uuid", "session", "bundle", "field_name").agg(F.min(F.struct("priority", "field_value", "field_type")).alias("best"))
-    return best.select("session", "bundle", "field_name", "best.field_value", "best.field_type")
+    return best.select(*KEYS, "field_name", "best.field_value", "best.field_type")
 
 
 def wide(corpus, fields: list[str] | None = None, session_pattern: str | None = None, bundle_pattern: str | None = None) -> DataFrame:
     """A row per bundle with a text column per field, in order of their names. Patterns are found anywhere in a name."""
     fields = sorted(fields if fields is not None else corpus.fields())
-    bundles = corpus.bundles.select("session", F.col("name").alias("bundle"))
+    bundles = corpus.bundles.select("db_uuid", "session", F.col("name").alias("bundle"))
     if session_pattern is not None:
         bundles = bundles.where(F.col("session").rlike(session_pattern))
     if bundle_pattern is not None:
@@ -56,15 +58,15 @@ def wide(corpus, fields: list[str] | None = None, session_pattern: str | None =
     if not fields:
         return bundles
     values = long(corpus).where(F.col("field_name").isin(*fields))
-    pivoted = values.groupBy("session", "bundle").agg(*[F.max(F.when(F.col("field_name") == f, F.col("field_value"))).alias(f) for f in fields])
-    return bundles.join(pivoted, ["session", "bundle"], "left").select("session", "bundle", *[f"`{f}`" for f in fields])
+    pivoted = values.groupBy(*KEYS).agg(*[F.max(F.when(F.col("field_name") == f, F.col("field_value"))).alias(f) for f in fields])
+    return bundles.join(pivoted, KEYS, "left").select(*KEYS, *[f"`{f}`" for f in fields])
 
 
 def field(corpus, name: str, tag: str = "character") -> DataFrame:
-    """(session, bundle, value) of one field, with its type."""
-    bundles = corpus.bundles.select("session", F.col("name").alias("bundle"))
-    values = long(corpus).where(F.col("field_name") == name).select("session", "bundle", decode(F.col("field_value"), tag).alias("value"))
-    return bundles.join(values, ["session", "bundle"], "left")
+    """(db_uuid, session, bundle, value) of one field, with its type."""
+    bundles = corpus.bundles.select("db_uuid", "session", F.col("name").alias("bundle"))
+    values = long(corpus).where(F.col("field_name") == name).select(*KEYS, decode(F.col("field_value"), tag).alias("value"))
+    return bundles.join(values, KEYS, "left")
 
 
 def at_level(corpus, level: str) -> DataFrame:
@@ -74,9 +76,9 @@ def at_level(corpus, level: str) -> DataFrame:
 
 def diagnostics(corpus) -> DataFrame:
     """Per field: bundles, sessions and databases that set it, and the levels at which it is set."""
-    b = corpus.meta_bundle.groupBy("field_name").agg(F.countDistinct("session", "bundle").alias("n_bundles"))
-    s = corpus.meta_session.groupBy("field_name").agg(F.countDistinct("session").alias("n_sessions"))
-    d = corpus.meta_database.groupBy("field_name").agg(F.count("*").alias("n_databases"))
+    b = corpus.meta_bundle.groupBy("field_name").agg(F.countDistinct(*KEYS).alias("n_bundles"))
+    s = corpus.meta_session.groupBy("field_name").agg(F.countDistinct("db_uuid", "session").alias("n_sessions"))
+    d = corpus.meta_database.groupBy("field_name").agg(F.countDistinct("db_uuid").alias("n_databases"))
     out = b.join(s, "field_name", "full").join(d, "field_name", "full").na.fill(0)
     levels = F.concat_ws("+", F.when(F.col("n_bundles") > 0, "bundle"), F.when(F.col("n_sessions") > 0, "session"), F.when(F.col("n_databases") > 0, "database"))
     return out.withColumn("levels", levels)
@@ -84,7 +86,7 @@ def diagnostics(corpus) -> DataFrame:
 
 def biographize(corpus, found: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Segments with their bundle's metadata; segments without any stay."""
-    return found.join(wide(corpus, fields), ["session", "bundle"], "left")
+    return found.join(wide(corpus, fields), KEYS, "left")
 
 
 def registry(corpus) -> DataFrame:
@@ -132,7 +134,7 @@ def set_values(corpus, values: dict, session: str | None = None, bundle: str | N
 
 
 #: Sheets of exported metadata: table, and the columns that name a row.
-SHEETS = {"bundles": ("meta_bundle", ["session", "bundle"]), "sessions": ("meta_session", ["session"]), "database": ("meta_database", [])}
+SHEETS = {"bundles": ("meta_bundle", ["db_uuid", "session", "bundle"]), "sessions": ("meta_session", ["db_uuid", "session"]), "database": ("meta_database", ["db_uuid"])}
 MANDATORY = ("Age", "Gender")
 
 
@@ -143,9 +145,9 @@ def sheet(corpus, name: str, mandatory: tuple[str, ...] = MANDATORY) -> DataFram
     rows = getattr(corpus, table)
     present = {r.field_name for r in rows.select("field_name").distinct().toLocalIterator()}
     fields = sorted(present | set(mandatory))
-    base = corpus.bundles.select("db_uuid", "session", F.col("name").alias("bundle")).select("db_uuid", *keys).distinct()
-    wide = rows.groupBy("db_uuid", *keys).agg(*[F.max(F.when(F.col("field_name") == f, F.col("field_value"))).alias(f) for f in fields])
-    return base.join(wide, ["db_uuid", *keys], "left").select(*keys, *[f"`{f}`" for f in fields])
+    base = corpus.bundles.select("db_uuid", "session", F.col("name").alias("bundle")).select(*keys).distinct()
+    wide = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("field_name") == f, F.col("field_value"))).alias(f) for f in fields])
+    return base.join(wide, keys, "left").select(*keys, *[f"`{f}`" for f in fields])
 
 
 def export_sheets(corpus, path: str, mandatory: tuple[str, ...] = MANDATORY, overwrite: bool = False) -> None:
@@ -158,13 +160,17 @@ def import_sheets(corpus, path: str):
     """A corpus with the values of exported sheets over its own; empty cells change nothing. Types follow the registry."""
     tables = {}
     types = registry(corpus).select("field_name", F.col("field_type").alias("_type"))
-    uuid = corpus.bundles.select("db_uuid").distinct()
     for name, (table, keys) in SHEETS.items():
         read = corpus.spark.read.csv(f"{path}/{name}", header=True)
+        if "db_uuid" not in read.columns:  # a sheet of one database may leave its name out
+            ids = [r.db_uuid for r in corpus.bundles.select("db_uuid").distinct().limit(2).collect()]
+            if len(ids) != 1:
+                raise ValueError(f"the sheet {name} names no database, and the corpus has several or none")
+            read = read.withColumn("db_uuid", F.lit(ids[0]))
         fields = [c for c in read.columns if c not in keys]
         pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("field_value")) for f in fields])).alias("x")
         rows = read.select(*keys, pairs).select(*keys, "x.*").where("field_value IS NOT NULL")
-        rows = rows.crossJoin(F.broadcast(uuid)).join(types, "field_name", "left")
-        on = ["db_uuid", *keys, "field_name"]
+        rows = rows.join(types, "field_name", "left")
+        on = [*keys, "field_name"]
         tables[table] = merged(getattr(corpus, table), rows.select(*on, "field_value", F.coalesce("_type", F.lit("character")).alias("field_type")), on)
     return corpus.replace(**tables)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.compile import as_nodes, places, segments
+from ..plans.compile import as_nodes, segments
 from ..schemas import KEYS
 
 
@@ -25,16 +25,20 @@ def scout(corpus, found: DataFrame, steps: int, count_from: str = "START", captu
     wanted = found.select(*[F.col(c).alias("_" + c) for c in own], (reference + steps).alias("_first")).distinct()
     # positions are listed, so that the range becomes an equality
     wanted = wanted.withColumn("_seq", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.lit(capture - 1))))
-    labels = corpus.labels.where(F.col("name").isin(*[x.name for x in corpus.hierarchy.levels]))
-    labels = labels.select(*KEYS, "item_id", F.col("name").alias("level"), "label")
-    targets = places(corpus.items).join(labels, [*KEYS, "item_id", "level"], "left")
+    targets = corpus.nodes
+    if across_bundles:
+        # the first bundle at each position, so that a segment meets one row for each of its positions and not every bundle
+        firsts = corpus.items.groupBy(F.col("db_uuid").alias("_db_uuid"), F.col("session").alias("_session"), F.col("level").alias("_level"), F.col("seq_idx").alias("_seq")).agg(F.min("bundle").alias("_target"))
+        at = ["_db_uuid", "_session", "_level", "_seq"]
+        target = wanted.join(firsts, at).groupBy(*["_" + c for c in own]).agg(F.min("_target").alias("_target"))
+        wanted = wanted.join(target, ["_" + c for c in own])
     on = [targets[k] == wanted["_" + k] for k in (*keys, "level")] + [targets["seq_idx"] == wanted["_seq"]]
+    if across_bundles:
+        on.append(targets["bundle"] == wanted["_target"])
     met = targets.join(wanted, on)
     group = ["_" + c for c in own]
     item = F.struct("seq_idx", "bundle", "item_id", "type", "sample_start", "sample_end", "sample_rate", F.coalesce("label", F.lit("")).alias("label"))
     spans = met.groupBy(*group).agg(F.array_sort(F.collect_set(item)).alias("all"))
-    if across_bundles:
-        spans = spans.withColumn("all", F.filter("all", lambda x: x["bundle"] == F.array_min(F.transform("all", lambda y: y["bundle"]))))
     first, last = F.col("all")[0], F.element_at("all", -1)
     return spans.select(
         F.array_join(F.transform("all", lambda x: x["label"]), " ").alias("labels"),
@@ -76,9 +80,8 @@ def _climb(corpus, found: DataFrame, level: str, up: bool) -> DataFrame:
         out = ids if out is None else out.unionByName(ids)
     if out is None:
         raise ValueError(f"no way to {level}")
-    own = corpus.labels.where(F.col("name") == level).select(*KEYS, "item_id", "label")
-    items = places(corpus.items).where(F.col("level") == level).join(out.distinct(), [*KEYS, "item_id"], "left_semi")
-    return segments(as_nodes(items.join(own, [*KEYS, "item_id"], "left"), F.lit(level)))
+    items = corpus.nodes.where(F.col("level") == level).join(out, [*KEYS, "item_id"], "left_semi")
+    return segments(as_nodes(items, F.lit(level)))
 
 
 def ascend_to(corpus, found: DataFrame, level: str) -> DataFrame:

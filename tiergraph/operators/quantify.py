@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import frame_index, nominal_f1
+from ..schemas import KEYS
 from . import metadata
 
 Measure = Callable[..., Any]
@@ -120,9 +121,19 @@ def quantify_cached(found: DataFrame, cache: DataFrame | None, compute: Callable
     return have.unionByName(compute(found.join(cache.select(*keys).distinct(), keys, "left_anti")), allowMissingColumns=True)
 
 
-def quantify_pairs(x: DataFrame, y: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, by_bundle: bool = False) -> DataFrame:
-    """fn on the segments of both lists in each session, or bundle; groups that only one list has are passed over."""
-    keys = ["session", "bundle"] if by_bundle else ["session"]
+#: Segments of one group that a task holds at once in quantify_pairs().
+GROUP_ROWS = 1_000_000
+
+
+def quantify_pairs(x: DataFrame, y: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, by_bundle: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """fn on the segments of both lists in each session, or bundle; groups that only one list has are passed over.
+
+    fn gets whole groups, so one of more than group_rows segments is an error before anything is measured.
+    """
+    keys = [k for k in (KEYS if by_bundle else KEYS[:2]) if k in x.columns and k in y.columns]
+    sizes = x.select(*keys).unionByName(y.select(*keys)).groupBy(*keys).count()
+    if too_large := sizes.where(F.col("count") > group_rows).head(1):
+        raise ValueError(f"{too_large[0]} has over {group_rows} segments: group by bundle, or measure parts of it")
     a, b = x.join(y.select(*keys).distinct(), keys, "left_semi"), y.join(x.select(*keys).distinct(), keys, "left_semi")
     b = b.select(*[F.col(c).alias(c) for c in b.columns])  # both lists may come from the same tables
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, schema)
@@ -155,8 +166,8 @@ furnish = enrich
 
 def with_metadata(corpus, found: DataFrame, fields: list[str]) -> DataFrame:
     """Segments with the metadata that their measures need."""
-    needed = found.select("session", "bundle").distinct()
-    return found.join(metadata.wide(corpus, fields).join(needed, ["session", "bundle"], "left_semi"), ["session", "bundle"], "left")
+    needed = found.select(*KEYS).distinct()
+    return found.join(metadata.wide(corpus, fields).join(needed, KEYS, "left_semi"), KEYS, "left")
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:

@@ -73,7 +73,7 @@ def assess(corpus, suggested: DataFrame, min_ms: float = 10.0) -> DataFrame:
 def correct(suggested: DataFrame, at: DataFrame, **changes) -> DataFrame:
     """suggested with the columns changed in rows whose keys, level and start_time are in at."""
     keys = [*KEYS, "level", "start_time"]
-    marked = suggested.join(F.broadcast(at.select(*keys).distinct().withColumn("_at", F.lit(True))), keys, "left")
+    marked = suggested.join(at.select(*keys).distinct().withColumn("_at", F.lit(True)), keys, "left")
     for name, value in changes.items():
         marked = marked.withColumn(name, F.when(F.col("_at"), F.lit(value)).otherwise(F.col(name)))
     return marked.drop("_at").select(*suggested.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import glob_to_regex, label_glob
+from .. import schemas as S
 from ..schemas import KEYS, NODE
 from .eql import Binary, EqlSyntaxError, Function, Node, Simple
 from .hierarchy import Hierarchy
@@ -27,6 +28,12 @@ def places(items: DataFrame) -> DataFrame:
     return items.select(*KEYS, "item_id", "level", "type", "seq_idx", "sample_rate", start.alias("sample_start"), (start + F.coalesce("sample_dur", F.lit(0))).alias("sample_end"))
 
 
+def own_labels(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """placed items with the label of their level's own attribute, each such label once."""
+    own = labels.select(*KEYS, "item_id", F.col("name").alias("level"), "label").distinct()
+    return places(items).join(own, [*KEYS, "item_id", "level"], "left").select(*S.NODES.names)
+
+
 def as_nodes(items: DataFrame, attribute: Column) -> DataFrame:
     """placed items with a label column, as NODE."""
     return items.select(
@@ -40,8 +47,8 @@ class Compiler:
     other_attributes: whether != also lets labels of other attributes of the level through.
     """
 
-    def __init__(self, items: DataFrame, labels: DataFrame, links: DataFrame, hierarchy: Hierarchy, patterns: str = "glob", other_attributes: bool = False):
-        self.items, self.labels, self.links, self.hierarchy = places(items), labels, links, hierarchy
+    def __init__(self, nodes: DataFrame, items: DataFrame, labels: DataFrame, links: DataFrame, hierarchy: Hierarchy, patterns: str = "glob", other_attributes: bool = False):
+        self.nodes, self.items, self.labels, self.links, self.hierarchy = nodes, places(items), labels, links, hierarchy
         self.patterns, self.other_attributes = patterns, other_attributes
 
     def compile(self, node: Node) -> DataFrame:
@@ -56,10 +63,11 @@ class Compiler:
             raise EqlSyntaxError(f"no level {name}")
         return self.items.where(F.col("level") == name)
 
-    def _labelled(self, items: DataFrame, level: str) -> DataFrame:
-        """items of a level as nodes with its own attribute's label."""
-        own = self.labels.where(F.col("name") == level).select(*KEYS, "item_id", "label")
-        return as_nodes(items.join(own, [*KEYS, "item_id"], "left"), F.lit(level))
+    def _own(self, name: str) -> DataFrame:
+        """Items of a level with its own attribute's label."""
+        if not self.hierarchy.level(name):
+            raise EqlSyntaxError(f"no level {name}")
+        return self.nodes.where(F.col("level") == name)
 
     def condition(self, node: Simple) -> Column:
         label, name = F.col("label"), F.col("name") == node.attribute
@@ -74,6 +82,9 @@ class Compiler:
         level = self.hierarchy.level(node.level)
         if not level or node.attribute not in level.attributes:
             raise EqlSyntaxError(f"no attribute {node.attribute} on a level {node.level}")
+        if node.attribute == level.name and not (self.other_attributes and node.op == "!="):
+            own = self._own(level.name).where(F.col("label").isNotNull()).withColumn("name", F.lit(level.name))
+            return as_nodes(own.where(self.condition(node)), F.lit(level.name))
         labels = self.labels.where(self.condition(node)).select(*KEYS, "item_id", "name", "label")
         return as_nodes(self._level(node.level).join(labels, [*KEYS, "item_id"]), F.col("name")).distinct()
 
@@ -85,13 +96,13 @@ class Compiler:
         next_to = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*KEYS, "level")] + [F.col("l.end_seq_idx") + 1 == F.col("r.seq_idx")]
         on = reduce(operator.and_, next_to)
         if marked(node.left):
-            return left.alias("l").join(right.alias("r"), on, "left_semi").select(*NODE).distinct()
+            return left.alias("l").join(right.alias("r"), on, "left_semi").select(*NODE)
         if marked(node.right):
-            return right.alias("r").join(left.alias("l"), on, "left_semi").select(*NODE).distinct()
+            return right.alias("r").join(left.alias("l"), on, "left_semi").select(*NODE)
         whole = left.alias("l").join(right.alias("r"), on)
         taken = {"end_item_id": "r", "end_seq_idx": "r", "sample_end": "r"}
         made = {"label": F.concat("l.label", F.lit("->"), "r.label"), "type": F.lit("ITEM")}
-        return whole.select(*[made[c].alias(c) if c in made else F.col(f"{taken.get(c, 'l')}.{c}") for c in NODE]).distinct()
+        return whole.select(*[made[c].alias(c) if c in made else F.col(f"{taken.get(c, 'l')}.{c}") for c in NODE])
 
     def reach(self, ids: DataFrame, way: list[str], up: bool) -> DataFrame:
         """Keys and ids of the items that ids (at one end of way) are linked with at the other end."""
@@ -116,7 +127,7 @@ class Compiler:
         keep, other = (node.right, node.left) if marked(node.right) and not marked(node.left) else (node.left, node.right)
         up = (keep is node.left) != turned
         ids = self.reach(self.compile(other).select(*KEYS, "item_id").distinct(), way, up)
-        return self.compile(keep).join(ids, [*KEYS, "item_id"], "left_semi").distinct()
+        return self.compile(keep).join(ids, [*KEYS, "item_id"], "left_semi")
 
     def both(self, node: Binary) -> DataFrame:
         ids = [*KEYS, "item_id"]
@@ -128,12 +139,13 @@ class Compiler:
     def _pairs(self, node: Function) -> DataFrame:
         """Children of a level with their parents of the other."""
         parents = self._level(node.parent).select(*KEYS, F.col("item_id").alias("from_id"))
-        edges = self.links.select(*KEYS, "from_id", F.col("to_id").alias("item_id")).distinct()
-        return edges.join(parents, [*KEYS, "from_id"], "left_semi").join(self._level(node.child), [*KEYS, "item_id"])
+        edges = self.links.select(*KEYS, "from_id", F.col("to_id").alias("item_id"))
+        return edges.join(parents, [*KEYS, "from_id"], "left_semi").join(self._own(node.child), [*KEYS, "item_id"])
 
     def position(self, node: Function) -> DataFrame:
         by_parent = W.partitionBy(*KEYS, "from_id")
-        ranked = self._pairs(node).withColumn("rank", F.row_number().over(by_parent.orderBy("seq_idx", "item_id"))).withColumn("size", F.count("*").over(by_parent))
+        # a link that stands twice counts once
+        ranked = self._pairs(node).withColumn("rank", F.dense_rank().over(by_parent.orderBy("seq_idx", "item_id"))).withColumn("size", F.max("rank").over(by_parent))
         rank, size = F.col("rank"), F.col("size")
         if node.position is not None:
             # a rank given by number
@@ -143,13 +155,15 @@ class Compiler:
         if (node.op == "==") != (node.value == 1):
             found = ~found
         kept = ranked.where(found).drop("from_id", "rank", "size").distinct()
-        return self._labelled(kept, node.child)
+        return as_nodes(kept, F.lit(node.child))
 
     def count(self, node: Function) -> DataFrame:
-        counts = self._pairs(node).groupBy(*KEYS, F.col("from_id").alias("item_id")).agg(F.count("*").alias("n"))
-        parents = self._level(node.parent).join(counts, [*KEYS, "item_id"], "left")
+        children = self._level(node.child).select(*KEYS, F.col("item_id").alias("to_id"))
+        edges = self.links.select(*KEYS, "from_id", "to_id").join(children, [*KEYS, "to_id"], "left_semi")
+        counts = edges.groupBy(*KEYS, F.col("from_id").alias("item_id")).agg(F.countDistinct("to_id").alias("n"))
+        parents = self._own(node.parent).join(counts, [*KEYS, "item_id"], "left")
         kept = parents.where(COMPARE[node.op](F.coalesce("n", F.lit(0)), F.lit(node.value))).drop("n")
-        return self._labelled(kept, node.parent)
+        return as_nodes(kept, F.lit(node.parent))
 
 
 def marked(node: Node) -> bool:

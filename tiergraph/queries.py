@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import drafts, metadata, quantify, simulate, summary, transcribe
-from .sources import star
+from .sources import annot_json, star
 from .streaming import sync
 
 QUERIES: dict = {}
@@ -112,7 +112,7 @@ EQL = {
     "eql_dom_parent": ("[Order == 1-URGENT ^ Lineitem == R]", f"SELECT DISTINCT {_row('o')} FROM {HOP1} WHERE o.level = 'Order' AND o.label = '1-URGENT' AND c.label = 'R'"),
     "eql_dom_child": ("[Order == 1-URGENT ^ #Lineitem == R]", f"SELECT DISTINCT {_row('c')} FROM {HOP1} WHERE o.level = 'Order' AND o.label = '1-URGENT' AND c.label = 'R'"),
     "eql_dom_2hop": ("[Customer == BUILDING ^ Lineitem == R]", f"SELECT DISTINCT {_row('u')} FROM {HOP2} WHERE u.label = 'BUILDING' AND c.label = 'R'"),
-    "eql_and": ("[Lineitem == R & Lineitem:LineStatus == F]", _simple("Lineitem", "Lineitem", f"l.label = 'R' AND EXISTS (SELECT 1 FROM lab m WHERE {ON.format('m', 'i')} AND m.item_id = i.item_id AND m.name = 'LineStatus' AND m.label = 'F')")),
+    "eql_and": ("[Lineitem == R & Lineitem:LineStatus == F]", _simple("Lineitem", "Lineitem", "l.label = 'R' AND (i.session, i.bundle, i.item_id) IN (SELECT (session, bundle, item_id) FROM lab WHERE name = 'LineStatus' AND label = 'F')")),
     "eql_or": ("[Order == 1-URGENT | Lineitem == R]", f"{_simple('Order', 'Order', chr(39).join(('l.label = ', '1-URGENT', '')))} UNION {_simple('Lineitem', 'Lineitem', chr(39).join(('l.label = ', 'R', '')))}"),
     "eql_nested": (
         "[[Lineitem == A -> Lineitem == R] ^ Order == 1-URGENT]",
@@ -198,7 +198,7 @@ def nav_descend(spark, sf_dir):
 
 @register("meta_inherit_long", f"{BASE} SELECT session, bundle, field_name, field_value FROM meta WHERE k = 1")
 def meta_inherit_long(spark, sf_dir):
-    return metadata.long(star.corpus(spark, sf_dir)).drop("field_type")
+    return metadata.long(star.corpus(spark, sf_dir)).drop("db_uuid", "field_type")
 
 
 WIDE = "SELECT session, bundle, " + ", ".join(f"max(CASE WHEN field_name = '{f}' THEN field_value END) AS \"{f}\"" for f in ("Balance", "Language", "Region", "Segment")) + " FROM meta WHERE k = 1"
@@ -206,17 +206,17 @@ WIDE = "SELECT session, bundle, " + ", ".join(f"max(CASE WHEN field_name = '{f}'
 
 @register("meta_inherit_wide", f"{BASE} {WIDE} GROUP BY session, bundle")
 def meta_inherit_wide(spark, sf_dir):
-    return star.corpus(spark, sf_dir).metadata()
+    return star.corpus(spark, sf_dir).metadata().drop("db_uuid")
 
 
 @register("meta_regex_subset", f"{BASE} {WIDE} AND regexp_matches(session, '_1') AND regexp_matches(bundle, '7$') GROUP BY session, bundle")
 def meta_regex_subset(spark, sf_dir):
-    return star.corpus(spark, sf_dir)["_1", "7$"]
+    return star.corpus(spark, sf_dir)["_1", "7$"].drop("db_uuid")
 
 
 @register("meta_field_coalesce", f"{BASE} SELECT session, bundle, CAST(max(CASE WHEN field_name = 'Balance' THEN field_value END) AS BIGINT) AS value FROM meta WHERE k = 1 GROUP BY session, bundle")
 def meta_field_coalesce(spark, sf_dir):
-    return metadata.field(star.corpus(spark, sf_dir), "Balance", "integer")
+    return metadata.field(star.corpus(spark, sf_dir), "Balance", "integer").drop("db_uuid")
 
 
 @register(
@@ -232,7 +232,32 @@ def meta_diagnostics(spark, sf_dir):
 @register("biographize", f"{BASE}, w AS ({WIDE} GROUP BY session, bundle) SELECT i.session, i.bundle, i.item_id AS start_item_id, i.label AS labels, w.\"Region\", w.\"Segment\" FROM own i LEFT JOIN w ON {ON.format('i', 'w')} WHERE i.level = 'Lineitem' AND i.label = 'R'")
 def biographize(spark, sf_dir):
     corpus, found = _found(spark, sf_dir)
-    return metadata.biographize(corpus, found.select("session", "bundle", "start_item_id", "labels"), ["Region", "Segment"])
+    return metadata.biographize(corpus, found.select("db_uuid", "session", "bundle", "start_item_id", "labels"), ["Region", "Segment"]).drop("db_uuid")
+
+
+def _two_databases(spark, sf_dir):
+    """The corpus twice, the second time under another name and with values of its own."""
+    first = star.corpus(spark, sf_dir)
+    tables = {}
+    for name in ("bundles", "items", "labels", "links", "meta_bundle", "meta_session", "meta_database"):
+        table = getattr(first, name)
+        again = table.withColumn("db_uuid", F.lit("other"))
+        if name.startswith("meta_"):
+            again = again.withColumn("field_value", F.concat(F.lit("other "), "field_value"))
+        tables[name] = table.unionByName(again)
+    return first.replace(**tables)
+
+
+@register(
+    "meta_two_databases",
+    f"""{BASE}, w AS (SELECT session, bundle, max(CASE WHEN field_name = 'Region' THEN field_value END) AS "Region", max(CASE WHEN field_name = 'Segment' THEN field_value END) AS "Segment" FROM meta WHERE k = 1 GROUP BY session, bundle), d AS (SELECT 'star' AS db_uuid, '' AS pre UNION ALL SELECT 'other', 'other ')
+    SELECT d.db_uuid, i.session, i.bundle, i.item_id AS start_item_id, d.pre || w."Region" AS "Region", d.pre || w."Segment" AS "Segment" FROM own i JOIN w ON {ON.format('i', 'w')} CROSS JOIN d WHERE i.level = 'Customer' AND i.label = 'BUILDING'""",
+)
+def meta_two_databases(spark, sf_dir):
+    corpus = _two_databases(spark, sf_dir)
+    found = corpus.query("Customer == BUILDING").select("db_uuid", "session", "bundle", "start_item_id")
+    return metadata.biographize(corpus, found, ["Region", "Segment"])
+
 
 
 R_ITEMS = "own WHERE level = 'Lineitem' AND label = 'R'"
@@ -407,10 +432,11 @@ def change_detect(spark, sf_dir):
     return sync.changes(now, before, ["doc_id"], "digest")
 
 
-@register("signal_hash", "SELECT source, to_json(list({'doc_id': doc_id, 'md5': md5(text)} ORDER BY doc_id)) AS hashes FROM documents GROUP BY source")
+@register("signal_hash", "SELECT doc_id, to_json([{'name': 'lang', 'sha1': sha1(lang)}, {'name': 'text', 'sha1': sha1(text)}]) AS hashes FROM documents")
 def signal_hash(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(F.to_json(F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("md5"))))).alias("hashes"))
+    """Digests of a bundle's files as a JSON list: a document is a bundle of two."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("content")) for c in ("lang", "text")])).alias("x"))
+    return annot_json.file_digests(docs.select("doc_id", "x.*"), ["doc_id"], ["name"]).withColumnRenamed("field_value", "hashes")
 
 
 @register("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -21,6 +21,10 @@ BUNDLE = _schema("db_uuid string, session string, name string, annotates string,
 ITEMS = _schema(
     "db_uuid string, session string, bundle string, item_id bigint, level string, type string, seq_idx int, sample_rate double, sample_point bigint, sample_start bigint, sample_dur bigint"
 )
+#: Items with the label of their level's own attribute, one row for each such label; null where an item has none.
+NODES = _schema(
+    "db_uuid string, session string, bundle string, item_id bigint, level string, type string, seq_idx int, sample_rate double, sample_start bigint, sample_end bigint, label string"
+)
 LABELS = _schema("db_uuid string, session string, bundle string, item_id bigint, label_idx int, name string, label string")
 LINKS = _schema("db_uuid string, session string, bundle string, from_id bigint, to_id bigint, label string")
 META_BUNDLE = _schema("db_uuid string, session string, bundle string, field_name string, field_value string, field_type string")

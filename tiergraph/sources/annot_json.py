@@ -23,9 +23,11 @@ def _texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def read_config(spark: SparkSession, folder: str) -> dict:
-    """The corpus's configuration: one small file."""
-    rows = spark.read.option("pathGlobFilter", "*_DBconfig.json").text(folder, wholetext=True).limit(1).toLocalIterator()
-    return next((json.loads(r.value) for r in rows), {})
+    """The corpus's configuration: one small file. A folder with several is an error, as it is of several databases."""
+    rows = spark.read.option("pathGlobFilter", "*_DBconfig.json").text(folder, wholetext=True).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError(f"{folder} holds several configurations: read the folder of each database by itself")
+    return json.loads(rows[0].value) if rows else {}
 
 
 def annotations(spark: SparkSession, folder: str, uuid: str) -> DataFrame:
@@ -115,9 +117,15 @@ def signals(spark: SparkSession, folder: str, pattern: str = "*", content: bool
 
 def signal_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Per bundle, its files' digests as a JSON list: the metadata field signal_hashes."""
-    hashed = signals(spark, folder, pattern, content=True)
-    rows = F.array_sort(F.collect_list(F.struct("name", "extension", "sha1")))
-    return hashed.groupBy("session", "bundle").agg(F.to_json(rows).alias("field_value")).select("session", "bundle", F.lit("signal_hashes").alias("field_name"), "field_value", F.lit("json").alias("field_type"))
+    hashed = file_digests(signals(spark, folder, pattern, content=True), ["session", "bundle"], ["name", "extension"])
+    return hashed.select("session", "bundle", F.lit("signal_hashes").alias("field_name"), "field_value", F.lit("json").alias("field_type"))
+
+
+def file_digests(files: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, field_value): the files of each bundle with the SHA-1 of their content, as a JSON list."""
+    digest = F.col("sha1") if "sha1" in files.columns else F.sha1("content")
+    rows = F.array_sort(F.collect_list(F.struct(*names, digest.alias("sha1"))))
+    return files.groupBy(*keys).agg(F.to_json(rows).alias("field_value"))
 
 
 def interval_table(spark: SparkSession, path: str) -> DataFrame:

@@ -29,7 +29,7 @@ def participants(corpus, id_field: str = "Participant.ID") -> DataFrame:
     wide = metadata.wide(corpus, [f for f in (id_field, "Gender", "Age") if f in fields])
     if id_field not in fields:
         return wide.limit(0).select(F.lit("").alias("participant"), F.lit("").alias("gender"), F.lit("").alias("age"))
-    pick = [F.max_by(F.col(f"`{c}`") if c in fields else F.lit(None).cast("string"), F.struct("session", "bundle")).alias(c.lower()) for c in ("Gender", "Age")]
+    pick = [F.max_by(F.col(f"`{c}`") if c in fields else F.lit(None).cast("string"), F.struct("session", "bundle", "db_uuid")).alias(c.lower()) for c in ("Gender", "Age")]
     return wide.where(F.col(f"`{id_field}`").isNotNull()).groupBy(F.col(f"`{id_field}`").alias("participant")).agg(*pick)
 
 
@@ -46,7 +46,7 @@ def export(corpus, title: str, profile: str = "speech-corpus") -> str:
     body = ET.SubElement(ET.SubElement(root, "Components"), profile)
     for name, value in (("Title", title), ("Sessions", row.n_sessions), ("Bundles", row.n_bundles), ("Items", row.n_items), ("Duration", row.duration)):
         ET.SubElement(body, name).text = str(value)
-    people = participants(corpus).groupBy("gender").agg(F.count("*").alias("n")).orderBy("gender").limit(100)
+    people = participants(corpus).groupBy("gender").agg(F.count("*").alias("n")).orderBy("gender")
     for p in people.toLocalIterator():
         ET.SubElement(body, "Participants", {"gender": p.gender or "unknown"}).text = str(p.n)
     levels = ET.SubElement(body, "Levels")

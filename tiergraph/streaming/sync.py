@@ -41,8 +41,19 @@ def follow(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[Da
 
 
 def per_bundle_counts(spark: SparkSession, folder: str, schema, checkpoint: str, out: str) -> None:
-    """Keep items by bundle and level counted over a folder of item tables as files arrive."""
+    """Keep items by bundle and level counted over a folder of item tables as files arrive.
+
+    Each batch writes a folder of its own, out/batch=N; a reader takes the newest that is whole (counts()).
+    """
     items = spark.readStream.schema(schema).parquet(folder)
     counts = items.groupBy(*KEYS, "level").agg(F.count("*").alias("n"))
-    run = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = counts.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
+
+
+def counts(spark: SparkSession, out: str) -> DataFrame:
+    """What per_bundle_counts() wrote last; a batch without its mark of success is passed over."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/_SUCCESS")
+    done = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    newest = max(int(x.getPath().getParent().getName().split("=")[1]) for x in done)
+    return spark.read.parquet(f"{out}/batch={newest}")
