@@ -14,7 +14,7 @@ import sys
 from array import array
 
 #: Parts kept at a time in one Python worker.
-CACHE = 150_000
+CACHE = 500_000
 #: Precomposed letters and marks that lower-casing maps one by one.
 _PLAIN = re.compile("[\x00-\u012f\u0132-\u024f]*")
 _MARKS = tuple(".,;:!?")

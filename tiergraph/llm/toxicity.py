@@ -35,7 +35,7 @@ RIDGE = 2e-4
 PENALTY = 4.0
 ROUNDS = 300
 #: Words kept at a time in one Python worker.
-CACHE = 50_000
+CACHE = 200_000
 #: Kinds of identity terms; a term is swapped within its kind.
 IDENTITIES = {
     "gender": "woman women man men girl girls boy boys female male frau frauen mann männer femme femmes homme hommes mujer mujeres hombre hombres transgender nonbinary",
