@@ -208,3 +208,38 @@ def test_hierarchy(corpus):
     assert ["Word", "Syllable", "Tone"] in h.all_paths()
     with pytest.raises(ValueError):
         h.without_level("Word")
+
+
+def test_metadata_and_configuration_are_written_back(spark, corpus, tmp_path):
+    (tmp_path / "S1_ses" / "B1_bndl").mkdir(parents=True)
+    (tmp_path / "S1_ses" / "B1_bndl" / "METADATA.json").write_text('[{"Speaker": "old", "Kept": 1}]')
+    changed = corpus.set_metadata(session="^S1$", bundle="^B2$", Count=3, Done=True)
+    assert annot_json.write_metadata(changed, str(tmp_path)).count() >= 3
+    b1, b2 = (json.loads((tmp_path / "S1_ses" / f"{b}_bndl" / "METADATA.json").read_text()) for b in ("B1", "B2"))
+    assert b1["Speaker"] == "S001" and b1["Kept"] == 1 and b2["Count"] == 3 and b2["Done"] is True
+    read = annot_json.metadata_tables(spark, str(tmp_path), "fx-0001")
+    want = {(r.session, r.field_name, r.field_value) for r in corpus.meta_session.collect()}
+    assert {(r.session, r.field_name, r.field_value) for r in read["meta_session"].collect()} == want
+    assert annot_json.write_config(changed, str(tmp_path)).endswith("fx_DBconfig.json")
+    assert annot_json.read_config(spark, str(tmp_path))["UUID"] == "fx-0001"
+
+
+def test_several_configurations_are_an_error(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}_DBconfig.json").write_text("{}")
+    with pytest.raises(ValueError, match="several"):
+        annot_json.read_config(spark, str(tmp_path))
+
+
+def test_databases_are_kept_apart(corpus):
+    tables = {}
+    for name in ("bundles", "items", "labels", "links", "meta_bundle", "meta_session", "meta_database"):
+        table = getattr(corpus, name)
+        again = table.withColumn("db_uuid", F.lit("fx-0002"))
+        tables[name] = table.unionByName(again.withColumn("field_value", F.lit("70")) if name.startswith("meta_") else again)
+    both = corpus.replace(**tables)
+    ages = {(r.db_uuid, r.bundle): r.value for r in metadata.field(both, "Age").collect()}
+    assert ages["fx-0001", "B1"] == "9" and ages["fx-0002", "B1"] == "70" and len(ages) == 6
+    found = both.query("Phonetic == a")
+    got = quantify.with_metadata(both, found, ["Age"])
+    assert got.count() == found.count() and {(r.db_uuid, r.Age) for r in got.where("bundle = 'B1'").collect()} == {("fx-0001", "9"), ("fx-0002", "70")}

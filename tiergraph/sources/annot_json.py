@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,3 +134,66 @@ def file_digests(files: DataFrame, keys: list[str], names: list[str]) -> DataFra
 def interval_table(spark: SparkSession, path: str) -> DataFrame:
     """A table of intervals, `tmin;tier;text;tmax;segment`."""
     return spark.read.csv(path, sep=";", header=True, schema="tmin double, tier string, text string, tmax double, segment string")
+
+
+def _put(uri: str, text: str) -> None:
+    """Write a small file whole: under another name first, so that a reader never sees half of it."""
+    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(f"{path}.new") as out:
+        out.write(text.encode())
+    fs.move(f"{path}.new", path)
+
+
+def _get(uri: str) -> dict:
+    """The object in a JSON file, or in an array of one; empty if there is none."""
+    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    if fs.get_file_info(path).type != pafs.FileType.File:
+        return {}
+    with fs.open_input_stream(path) as read:
+        found = json.loads(read.read() or b"{}")
+    return (found[0] if found else {}) if isinstance(found, list) else found
+
+
+def _json_value(value: str | None, tag: str | None):
+    if value is None or tag == "NULL":
+        return None
+    try:
+        return {"integer": int, "numeric": float, "logical": lambda v: v.upper() == "TRUE", "json": json.loads}.get(tag, str)(value)
+    except ValueError:  # text that isn't of its type stays text
+        return value
+
+
+def write_metadata(corpus: Corpus, folder: str, merge: bool = True) -> DataFrame:
+    """Write the values set at each level to METADATA.json in its folder; (path, fields) of the files written.
+
+    Files are written by the tasks, when the result is asked for; a task that runs again writes the same.
+
+    With merge, fields that a file has and the corpus doesn't stay; without, the file has the corpus's fields alone.
+    Levels without a value get no file. A corpus of several databases is an error, as a folder holds one.
+    """
+    if len(corpus.bundles.select("db_uuid").distinct().limit(2).collect()) > 1:
+        raise ValueError("a folder holds one database")
+    field = F.struct("field_name", "field_value", "field_type")
+    of_bundle = F.concat("session", F.lit("_ses/"), "bundle", F.lit("_bndl/METADATA.json"))
+    parts = [(corpus.meta_bundle, of_bundle), (corpus.meta_session, F.concat("session", F.lit("_ses/METADATA.json"))), (corpus.meta_database, F.lit("METADATA.json"))]
+    rows = [df.groupBy(F.concat(F.lit(folder.rstrip("/") + "/"), at).alias("path")).agg(F.array_sort(F.collect_list(field)).alias("fields")) for df, at in parts]
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            counts = []
+            for path, fields in zip(pdf["path"], pdf["fields"], strict=True):
+                new = {f["field_name"]: _json_value(f["field_value"], f["field_type"]) for f in fields}
+                whole = (_get(path) if merge else {}) | new
+                _put(path, json.dumps(whole, ensure_ascii=False, indent=2))
+                counts.append(len(whole))
+            yield pd.DataFrame({"path": pdf["path"], "fields": counts})
+
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).mapInPandas(write, "path string, fields int")
+
+
+def write_config(corpus: Corpus, folder: str) -> str:
+    """Write the configuration, with the levels and links as they are now, and give its path."""
+    path = f"{folder.rstrip('/')}/{corpus.config.get('name', 'corpus')}_DBconfig.json"
+    _put(path, json.dumps(corpus.config | corpus.hierarchy.to_config(), ensure_ascii=False, indent=2))
+    return path
