@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,16 +110,55 @@ class Corpus:
         raise ValueError(f"can't peek at {what}")
 
     def save(self, path: str) -> Corpus:
-        """Write the tables and read them back."""
+        """Write the tables and read them back. A store that batches were added to can't be written over."""
+        if _batches(self.spark, path):
+            raise ValueError(f"{path} holds added batches: save to another path")
+        self._write(path)
+        return Corpus.load(self.spark, path)
+
+    def _write(self, path: str) -> None:
         for name in (*SCHEMAS, "nodes"):
             writer = getattr(self, name).write.mode("overwrite")
             (writer.partitionBy(FOLDERS[name]) if name in FOLDERS else writer).parquet(f"{path}/{name}")
         config = json.dumps(self.config | self.hierarchy.to_config())
         self.spark.createDataFrame([(config,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+    def append_to(self, path: str) -> Corpus:
+        """Add this corpus's tables to the one stored at path, whole or not at all, and read that back.
+
+        Tables go to a folder of their own, which readers take from when its mark is written after the last of them; what a
+        failed call left is passed over. A bundle that is stored already is an error, as is another hierarchy. To gather
+        many batches into one set of tables, load the store and save it at another path.
+        """
+        stored = Corpus.load(self.spark, path)
+        if stored.hierarchy.to_config() != self.hierarchy.to_config():
+            raise ValueError("the stored corpus has other levels or links")
+        keys = ["db_uuid", "session", "name"]
+        if twice := self.bundles.select(*keys).join(stored.bundles.select(*keys), keys, "left_semi").head(1):
+            raise ValueError(f"{tuple(twice[0])} is stored already")
+        batch = f"{path}/batches/{uuid.uuid4().hex}"
+        self._write(batch)
+        _file_system(self.spark, batch).create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{batch}/{COMMITTED}"), False).close()
         return Corpus.load(self.spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Corpus:
         config = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/config").limit(1000).toLocalIterator()))
-        nodes = spark.read.schema(S.NODES).parquet(f"{path}/nodes")
-        return cls(spark, Hierarchy.from_config(config), config=config, stored_nodes=nodes, **{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()})
+        roots = [path, *_batches(spark, path)]
+        # folders of levels are found from a table's own folder, so each is read by itself
+        read = {name: reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(f"{r}/{name}") for r in roots]) for name, schema in (SCHEMAS | {"nodes": S.NODES}).items()}
+        return cls(spark, Hierarchy.from_config(config), config=config, stored_nodes=read.pop("nodes"), **read)
+
+
+#: The mark of a batch whose tables are all written.
+COMMITTED = "_COMMITTED"
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the batches that were added to a stored corpus."""
+    marks = _file_system(spark, path).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batches/*/{COMMITTED}")) or []
+    return sorted(x.getPath().getParent().toString() for x in marks)

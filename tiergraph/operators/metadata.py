@@ -174,3 +174,27 @@ def import_sheets(corpus, path: str):
         on = [*keys, "field_name"]
         tables[table] = merged(getattr(corpus, table), rows.select(*on, "field_value", F.coalesce("_type", F.lit("character")).alias("field_type")), on)
     return corpus.replace(**tables)
+
+
+def add_digests(corpus, hashes: DataFrame):
+    """The corpus with its files' digests as metadata of their bundles (sources.annot_json.signal_hashes).
+
+    hashes names no database, so a corpus of several is an error; digests of bundles that the corpus lacks are left out.
+    """
+    ids = [r.db_uuid for r in corpus.bundles.select("db_uuid").distinct().limit(2).collect()]
+    if len(ids) > 1:
+        raise ValueError("the corpus has several databases")
+    keys = ["db_uuid", "session", "bundle"]
+    known = corpus.bundles.select("db_uuid", "session", F.col("name").alias("bundle"))
+    new = known.join(hashes, ["session", "bundle"]).select(*keys, "field_name", "field_value", "field_type")
+    return corpus.replace(meta_bundle=merged(corpus.meta_bundle, new, [*keys, "field_name"]))
+
+
+def clear(corpus, session: str | None = None, bundle: str | None = None):
+    """The corpus without the values set at the bundles or sessions that match the patterns, or at the database."""
+    if bundle is not None:
+        hit = F.col("bundle").rlike(bundle) & F.col("session").rlike(session or "")
+        return corpus.replace(meta_bundle=corpus.meta_bundle.where(~hit))
+    if session is not None:
+        return corpus.replace(meta_session=corpus.meta_session.where(~F.col("session").rlike(session)))
+    return corpus.replace(meta_database=corpus.meta_database.where(F.lit(False)))

@@ -183,5 +183,5 @@ def difference_stats(df: DataFrame, keys: list[str], order: list[str], value: st
     """Of consecutive differences by keys: sample deviation, mean, median and coefficient of variation."""
     diffs = df.withColumn("_d", F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(*order))).where("_d IS NOT NULL")
     return diffs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.stddev_samp("_d"), 6).alias("sd"), F.round(F.avg("_d"), 6).alias("mean"), F.round(F.percentile("_d", F.lit(0.5)), 6).alias("median"), F.round(F.stddev_pop("_d") / F.avg("_d"), 6).alias("cv")
+        F.count("*").alias("n"), F.round(F.stddev_samp("_d"), 6).alias("sd"), F.round(F.avg("_d"), 6).alias("mean"), F.round(F.percentile("_d", F.lit(0.5)), 6).alias("median"), F.round(F.try_divide(F.stddev_pop("_d"), F.avg("_d")), 6).alias("cv")
     )

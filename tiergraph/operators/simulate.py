@@ -86,8 +86,27 @@ def reminisce(spark: SparkSession, path: str, dsp: dict[str, Any], prep: dict[st
     return spark.read.parquet(f"{path}/results").where(F.col("param_hash") == hash_parameters(dsp, prep))
 
 
+def reminisce_tracks(spark: SparkSession, path: str, dsp: dict[str, Any], prep: dict[str, Any] | None = None, session: str | None = None, bundle: str | None = None) -> DataFrame:
+    """Tracks of one grid point, of the sessions and bundles that match the patterns; a point that isn't stored is an error."""
+    key = hash_parameters(dsp, prep)
+    if spark.read.parquet(f"{path}/params").where(F.col("param_hash") == key).isEmpty():
+        raise KeyError(f"no results for {dsp} in {path}")
+    out = spark.read.parquet(f"{path}/results").where(F.col("param_hash") == key)
+    for name, pattern in (("session", session), ("bundle", bundle)):
+        out = out.where(F.col(name).rlike(pattern)) if pattern else out
+    return out
+
+
+META = "function string, n_points bigint, created timestamp"
+
+
 def list_simulations(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "false").parquet(f"{folder}/*/meta").withColumn("path", F.regexp_replace(F.input_file_name(), r"/meta/[^/]*$", ""))
+    """(function, n_points, created, path) of the stores below folder; those without readable notes are passed over."""
+    read = spark.read.schema(META).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/meta")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
+        return spark.createDataFrame([], f"{META}, path string")
+    return read.parquet(f"{folder}/*/meta").withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), r"/meta/[^/]*$", ""))
 
 
 def assess_error(simulated: DataFrame, stored: DataFrame, keys: list[str], value: str) -> DataFrame:

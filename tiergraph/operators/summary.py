@@ -61,3 +61,33 @@ def measure_stats(extended: DataFrame, measures: list[str]) -> DataFrame:
 
 def rows_per_segment(extended: DataFrame) -> DataFrame:
     return extended.groupBy(*KEYS, "start_item_id").agg(F.count("*").alias("n"))
+
+
+def glimpse(corpus, labels: int = 5) -> DataFrame:
+    """(db_uuid, level, type, n_items, n_labels, examples): the levels in use, each with its first labels by name."""
+    own = corpus.nodes.groupBy("db_uuid", "level", "type", "label").agg(F.count("*").alias("n"))
+    # a level keeps its first labels only, part by part
+    first = F.expr(f"slice(array_sort(collect_set(label)), 1, {labels})")
+    ranked = own.withColumn("_part", F.pmod(F.xxhash64("label"), F.lit(64)))
+    parts = ranked.groupBy("db_uuid", "level", "type", "_part").agg(F.sum("n").alias("n"), F.count("label").alias("n_labels"), first.alias("x"))
+    whole = F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, labels)
+    return parts.groupBy("db_uuid", "level", "type").agg(F.sum("n").alias("n_items"), F.sum("n_labels").alias("n_labels"), whole.alias("examples"))
+
+
+def overview(found: DataFrame) -> DataFrame:
+    """A row for each column of a result: its type, how many rows have it, and how many values it has (approximately)."""
+    fields = [f for f in found.schema]
+    counts = found.agg(F.count("*").alias("_rows"), *[F.struct(F.count(f"`{f.name}`").alias("n"), F.approx_count_distinct(F.to_json(F.struct(f"`{f.name}`"))).alias("n_values")).alias(f"_{k}") for k, f in enumerate(fields)])
+    rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("_rows").alias("rows"), F.col(f"_{k}.n").alias("n"), F.col(f"_{k}.n_values").alias("n_values")) for k, f in enumerate(fields)]
+    return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def bundle_overview(bundles: DataFrame, fields: list[str]) -> DataFrame:
+    """Per session of a bundle list: bundles, and how many have a value in each field."""
+    return bundles.groupBy("db_uuid", "session").agg(F.count("*").alias("n_bundles"), *[F.count(f"`{f}`").alias(f"n_{f}") for f in fields])
+
+
+def plan_of(found: DataFrame) -> dict:
+    """What a lazy result is before it runs: its columns, and the joins, exchanges and scans of its plan."""
+    text = found._jdf.queryExecution().executedPlan().toString()
+    return {"columns": found.columns, "joins": text.count("Join "), "exchanges": text.count("Exchange "), "scans": text.count("FileScan")}

@@ -8,8 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import drafts, metadata, quantify, simulate, summary, transcribe
-from .sources import annot_json, star
+from .operators import annotate, drafts, metadata, quantify, simulate, summary, transcribe
+from .sources import annot_json, star, tracks
 from .streaming import sync
 
 QUERIES: dict = {}
@@ -464,3 +464,112 @@ def pitch_tones(spark, sf_dir):
     return rows.select("vec_id", intsint("f0").alias("x")).select("vec_id", F.size("x.targets").alias("n"), F.round("x.range", 3).alias("span"), F.round("x.key", 3).alias("key"))
 
 
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as tracks of a frame each 10 ms."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("session"), F.posexplode("embedding").alias("at", "x"))
+    return rows.select("session", F.lit("b").alias("bundle"), F.lit("e").alias("extension"), F.lit("x").alias("field"), (F.col("at") + 1).cast("bigint").alias("frame"), (F.col("at") * 10.0).alias("t"), F.array(F.col("x").cast("double")).alias("values"))
+
+
+@register("track_between", "SELECT vec_id, i AS frame, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE (i - 1) * 10 BETWEEN 50 AND 120")
+def track_between(spark, sf_dir):
+    found = tracks.between(_frames(spark, sf_dir), 50, 120, "x")
+    return found.select(F.col("session").cast("bigint").alias("vec_id"), "frame", F.round(F.get("values", F.lit(0)), 6).alias("value"))
+
+
+@register("track_segments", f"{BASE}{SUGGESTED} SELECT o.session, o.bundle, o.item_id AS start_item_id, CAST(s.k AS BIGINT) AS frame FROM own o JOIN sug s ON {ON.format('o', 's')} WHERE o.level = 'Lineitem' AND o.label = 'R' AND s.start_time BETWEEN o.s AND o.e")
+def track_segments(spark, sf_dir):
+    """Segments with the events of their bundle, one each 10 ms, that lie in them."""
+    corpus, found = _found(spark, sf_dir)
+    _, events = _suggested(spark, sf_dir)
+    at = events.select("session", "bundle", (F.col("start_time") / 10).cast("bigint").alias("frame"), F.col("start_time").alias("t"))
+    return tracks.of_segments(found, at, ["session", "bundle", "start_item_id"]).drop("t")
+
+
+@register("signal_present", f"{BASE}, c AS (SELECT DISTINCT session, bundle FROM cust JOIN events ON user_id = key WHERE event_type = 'click') SELECT o.session, o.bundle, o.item_id AS start_item_id FROM own o JOIN c ON {ON.format('o', 'c')} WHERE o.level = 'Lineitem' AND o.label = 'R'")
+def signal_present(spark, sf_dir):
+    corpus, found = _found(spark, sf_dir)
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("extension"))
+    files = corpus.bundles.join(events, "name").select("session", F.col("name").alias("bundle"), "extension")
+    return tracks.with_signal(found, files, "click").select("session", "bundle", "start_item_id")
+
+
+@register(
+    "sample_window",
+    """SELECT p_partkey, first, first + 2 AS last FROM (SELECT p_partkey, CAST(least(greatest(round_even(p_size + (p_partkey % 11) / CAST(10 AS DOUBLE) * (p_partkey % 50) - CAST(1.5 AS DOUBLE), 0), p_size), p_size + 28) AS BIGINT) AS first FROM part)""",
+)
+def sample_window(spark, sf_dir):
+    start, long = F.col("p_size"), F.col("p_partkey") % 50
+    found = tracks.sample_window(start, start + long, F.col("p_partkey") % 11 / F.lit(10.0), F.lit(3), start + 30)
+    return _table(spark, sf_dir, "part").select("p_partkey", found.alias("x")).select("p_partkey", "x.*")
+
+
+@register("corpus_glimpse", f"{BASE} SELECT level, type, count(*) AS n_items, count(DISTINCT label) AS n_labels, array_to_string(list_slice(list_sort(list(DISTINCT label)), 1, 3), ',') AS examples FROM own GROUP BY level, type")
+def corpus_glimpse(spark, sf_dir):
+    return summary.glimpse(star.corpus(spark, sf_dir), 3).drop("db_uuid").withColumn("examples", F.array_join("examples", ","))
+
+
+@register(
+    "tone_summary",
+    """WITH j AS (SELECT a.user_id, a.ts, CAST(a.event_id % 3 AS VARCHAR) AS tone, round(b.value) AS v FROM (SELECT * FROM events WHERE event_type = 'click') a ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts),
+    d AS (SELECT *, v - lag(v) OVER (PARTITION BY user_id ORDER BY ts, tone) AS d FROM j WHERE v IS NOT NULL), n AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS seconds FROM events GROUP BY user_id)
+    SELECT d.user_id, round(stddev_samp(d), 6) AS v_diff_stdev, round(avg(d), 6) AS v_diff_mean, round(quantile_cont(d, 0.5), 6) AS v_diff_median, count(*) AS n_tones, count(DISTINCT tone) AS n_different, any_value(seconds) AS seconds, round(count(*) / any_value(seconds), 6) AS tones_per_second
+    FROM d JOIN n ON d.user_id = n.user_id GROUP BY d.user_id""",
+)
+def tone_summary(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").alias("t"), F.round("value").alias("v"))
+    points = events.where("event_type = 'click'").select("user_id", "t", (F.col("event_id") % 3).cast("string").alias("tone"))
+    measures = events.where("event_type = 'view'").select("user_id", "t", "v")
+    seconds = events.groupBy("user_id").agg(F.count("*").cast("double").alias("seconds"))
+    return annotate.tone_summary(points, measures, ["user_id"], ["v"], seconds).drop("v_diff_variation")
+
+
+@register("annotate_batch", "SELECT vec_id, CAST((i - 1) * 10 AS DOUBLE) AS start_time, 'peak' AS label FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE CAST(embedding[i] AS DOUBLE) > 0.1")
+def annotate_batch(spark, sf_dir):
+    """An event at each value above a limit, by a Python annotator."""
+
+    def peaks(row: dict, limit: float) -> pd.DataFrame:
+        at = [k * 10.0 for k, x in enumerate(row["wave"]) if x > limit]
+        return pd.DataFrame({"start_time": at, "end_time": at, "label": "peak"})
+
+    files = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("wave"))
+    return annotate.annotate(files, peaks, {"limit": 0.1}, ["vec_id"]).where("error IS NULL").select("vec_id", "start_time", "label")
+
+
+@register(
+    "seg_measures",
+    f"{BASE} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS measure, count({x}) AS n, count(*) - count({x}) AS missing, CAST(min({x}) AS DOUBLE) AS \"min\", CAST(max({x}) AS DOUBLE) AS \"max\", round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS sd FROM own WHERE level != 'Order'" for name, x in (("sample_start", "s"), ("sample_end", "e"))),
+)
+def seg_measures(spark, sf_dir):
+    corpus = star.corpus(spark, sf_dir)
+    return summary.measure_stats(corpus.query("Customer =~ *").unionByName(corpus.query("Lineitem =~ *")), ["sample_start", "sample_end"])
+
+
+@register("meta_set", f"{BASE} SELECT session, bundle, CASE WHEN bundle LIKE '%7' THEN 'set' ELSE max(CASE WHEN field_name = 'Segment' THEN field_value END) END AS \"Segment\" FROM meta WHERE k = 1 GROUP BY session, bundle")
+def meta_set(spark, sf_dir):
+    return star.corpus(spark, sf_dir).set_metadata(bundle="7$", Segment="set").metadata(fields=["Segment"]).drop("db_uuid")
+
+
+@register("quantify_cached", f"{BASE} SELECT session, bundle, item_id AS start_item_id, CASE WHEN item_id % 2 = 0 THEN -1.0 ELSE CAST(e - s AS DOUBLE) END AS ms FROM {R_ITEMS}")
+def quantify_cached(spark, sf_dir):
+    _, found = _found(spark, sf_dir)
+    keys = ["session", "bundle", "start_item_id"]
+    cache = found.where("start_item_id % 2 = 0").select(*keys, F.lit(-1.0).alias("ms"))
+    return quantify.quantify_cached(found.select(*keys, "start", "end"), cache, lambda rows: rows.select(*keys, F.round(F.col("end") - F.col("start"), 6).alias("ms")), keys)
+
+
+@register("enrich_grid", "SELECT vec_id, CAST(k AS INT) AS param_id, CAST(k * len(embedding) AS DOUBLE) AS value FROM embeddings, range(1, 3) g(k)")
+def enrich_grid(spark, sf_dir):
+    files = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    grid = simulate.parameter_grid(spark, {"k": [1, 2]})
+    made = simulate.enrich_grid(files, grid, lambda row, k: {"value": [float(k * len(row["embedding"]))]}, "value double")
+    return made.select("vec_id", "param_id", F.get("track", F.lit(0))["value"].alias("value"))
+
+
+@register("scalars_more", "SELECT p_partkey, round(log2(p_retailprice), 6) AS octave, round(power(2, p_size / CAST(10 AS DOUBLE)), 6) AS linear, CAST(floor(p_retailprice + 0.5) AS INT) AS rounded, greatest(least(p_retailprice, 1500.0), 1000.0) AS clipped, CAST(p_size * 1024 AS DOUBLE) AS bytes FROM part")
+def scalars_more(spark, sf_dir):
+    price, size = F.col("p_retailprice").cast("double"), F.col("p_size")
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", F.round(scalars.octave(price), 6).alias("octave"), F.round(scalars.linear(size / F.lit(10.0)), 6).alias("linear"), scalars.round_half_up(price).alias("rounded"),
+        scalars.clip(price, 1000.0, 1500.0).alias("clipped"), scalars.parse_size(F.concat(size.cast("string"), F.lit(" kB"))).alias("bytes"),
+    )
