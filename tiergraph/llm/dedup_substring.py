@@ -40,8 +40,8 @@ STEP = 16
 #: Phrases of one bucket that are sorted in one task.
 HOT = 1024
 #: Phrases that are sorted at a time, and bytes of them that are sent at a time.
-SORTED = 16_384
-SENT = 1 << 22
+SORTED = 4096
+SENT = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Windows handled at a time in one text.
 BLOCK = 1 << 21
@@ -304,7 +304,7 @@ def sorted_spans(entries: DataFrame, size: int = SIZE) -> DataFrame:
         if held is not None and held.num_rows:
             yield spans(held)
 
-    spark.conf.set(ARROW_ROWS, "4096")
+    spark.conf.set(ARROW_ROWS, "1024")
     return dealt.mapInArrow(one, f"doc_id {kind}, h bigint, a int, b int")
 
 
