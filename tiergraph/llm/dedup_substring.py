@@ -315,17 +315,18 @@ def repeated_spans(texts: DataFrame, size: int = SIZE, guard: int = GUARD, step:
     for width in (step, 1, 0):
         whole, wanted = settle(rows, size)
         spans.append(materialise(whole, "substring-spans"))
-        before, more = [path], False
-        if width:  # different single windows are just that
-            wanted, at = stored(wanted, "substring-wanted")
-            before.append(at)
-            few, many = wanted.where(F.col("kinds") <= hot), wanted.where(F.col("kinds") > hot)
-            spans.append(materialise(sorted_spans(dictionary(texts, few, size), size), "substring-spans"))
-            more = not many.isEmpty()
-            if more:
-                rows, path = stored(finer(texts, many, width, size), "substring-finer")
-        for at in before:  # what was made from them is in the shared folder by now
-            remove(spark, at)
+        if width:
+            wanted, kept = stored(wanted, "substring-wanted")
+        remove(spark, path)  # what was made from it is in the shared folder by now
+        release(spark)
+        if not width:  # different single windows are just that
+            break
+        few, many = wanted.where(F.col("kinds") <= hot), wanted.where(F.col("kinds") > hot)
+        spans.append(materialise(sorted_spans(dictionary(texts, few, size), size), "substring-spans"))
+        more = not many.isEmpty()
+        if more:
+            rows, path = stored(finer(texts, many, width, size), "substring-finer")
+        remove(spark, kept)
         release(spark)
         if not more:
             break
