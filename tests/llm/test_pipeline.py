@@ -4,6 +4,7 @@ import random
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tiergraph.llm import queries
@@ -73,3 +74,29 @@ def test_stages(spark, planted):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in packed.collect()} == set(last)
     assert corpus_pipeline.run(spark, folder).count() == packed.count()
+
+
+CLASHING = ["fp", "component_id", "digest", "h", "score", "_row", "keep_id", "n"]
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_stages_with_odd_tables(spark, tmp_path, kind):
+    """No rows at all, or null and repeated ids, null texts, repeated rows and a hot text, with names used inside."""
+    rows = [(None, "one two three"), (None, None), (1, None), (1, "one two three"), (1, "one two three"), (2, ""), (3, "w " * 30_000)]
+    rows += [(k, "the same text in a third of all rows") for k in range(10, 30)]
+    docs = spark.createDataFrame(rows if kind == "odd" else [], "doc_id bigint, text string")
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.lit("x"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}.parquet"
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == ["doc_id", "text", *CLASHING]
+    texts = sorted(r.text or "" for r in docs.collect())
+    assert texts == (sorted({t or "" for _, t in rows}) if kind == "odd" else [])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == (docs.select("doc_id").distinct().count())
