@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, remove
+from .common import Scratch, remove, shuffled
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
@@ -22,13 +22,13 @@ def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(shuffled(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(shuffled(least), "u")
         star = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = star.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = scratch.keep(star, "cc")
         remove(scratch.spark, scratch.paths.pop(-2))
-        if edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():  # all point to a root
+        if edges.join(shuffled(edges.select(F.col("v").alias("u"))), "u", "left_semi").isEmpty():  # all point to a root
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError("components didn't settle")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, by_key, materialise, maybe_broadcast, texts_of
+from .common import Scratch, arrow_map, by_key, materialise, maybe_broadcast, shuffled, texts_of
 from .components import components
 
 SEED = 42
@@ -91,7 +91,7 @@ def links(nodes: DataFrame, hot: int = HOT, scratch: Scratch | None = None) -> D
     cold = placed.join(crowded, "point", "left_anti") if some_hot else placed
     a, b = cold.select("point", F.col("fp").alias("u")), cold.select("point", F.col("fp").alias("v"))
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    found = a.join(b, (a["point"] == b["point"]) & (F.col("u") < F.col("v")) & (apart <= DISTANCE)).select("u", "v")
+    found = a.join(shuffled(b), (a["point"] == b["point"]) & (F.col("u") < F.col("v")) & (apart <= DISTANCE)).select("u", "v")
     if some_hot:
         dense = placed.join(crowded, "point", "left_semi").select("fp").distinct()
         flips = F.array(F.lit(0).cast("bigint"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("bigint") for k in range(BITS)])
@@ -116,10 +116,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _named(fps: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
     nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes, hot, scratch), scratch)
-    named = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("linked"))
-    named = named.join(nodes.select(F.col("fp").alias("root"), "least"), "root").select("root", F.least("linked", "least").alias("component_id"))
-    placed = roots.select("node", "root").unionByName(named.select(F.col("root").alias("node"), "root")).join(named, "root")
-    whole = nodes.join(placed, nodes["fp"] == placed["node"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    named = roots.join(shuffled(nodes), roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("linked"))
+    named = named.join(shuffled(nodes.select(F.col("fp").alias("root"), "least")), "root").select("root", F.least("linked", "least").alias("component_id"))
+    placed = roots.select("node", "root").unionByName(named.select(F.col("root").alias("node"), "root")).join(shuffled(named), "root")
+    whole = nodes.join(shuffled(placed), nodes["fp"] == placed["node"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
     out = by_key(fps, whole, "fp", nodes)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -149,6 +149,6 @@ def _keep_numbered(docs: DataFrame, id_col: str, text_col: str, width: int, find
     rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
     found = find(rows, number, text_col, width).select(F.col("doc_id").alias("_n"), "component_id")
     ids = rows.select(F.col(number).alias("_n"), F.col(id_col).alias("_id"))
-    first = found.join(ids, "_n").groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_n")).alias("first"))
+    first = found.join(shuffled(ids), "_n").groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_n")).alias("first"))
     first = first.select(F.col("first._n").alias("_keep"))
-    return rows.join(first, rows[number] == first["_keep"], "left_semi").drop(number)
+    return rows.join(shuffled(first), rows[number] == first["_keep"], "left_semi").drop(number)
