@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, Scratch, arrow_map, by_key, materialise, maybe_broadcast, partitions, texts_of
+from .common import ARROW_ROWS, Scratch, arrow_map, by_key, materialise, maybe_broadcast, partitions, shuffled, texts_of
 from .components import components
 from .simhash import BROADCAST_ROWS, SEED, majority, shingle_hashes
 from .simhash import links as fingerprint_links
@@ -214,7 +214,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, similarity: float,
     a, b = whole.select(F.col("doc_id").alias("u"), F.col("hashes").alias("x")), whole.select(F.col("doc_id").alias("v"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     close = both * (1 + similarity) + _EPS >= (F.size("x") + F.size("y")) * similarity
-    return scratch.keep(pairs.join(a, "u").join(b, "v").where(close).select("u", "v"), "similar-links")
+    return scratch.keep(pairs.join(shuffled(a), "u").join(shuffled(b), "v").where(close).select("u", "v"), "similar-links")
 
 
 def by_fingerprint(known: DataFrame, scratch: Scratch) -> DataFrame:
@@ -224,7 +224,7 @@ def by_fingerprint(known: DataFrame, scratch: Scratch) -> DataFrame:
     same = by_key(known.select("fp", F.col("doc_id").alias("u")), fps.where("n > 1"), "fp", fps).select("u", F.col("least").alias("v"))
     a, b = (fps.select(F.col("fp").alias(x), F.col("least").alias(f"_{x}")) for x in "uv")
     near = fingerprint_links(fps.select("fp"), scratch=scratch).groupBy("v").agg(F.min("u").alias("u"))
-    near = near.join(a, "u").join(b, "v")
+    near = near.join(shuffled(a), "u").join(shuffled(b), "v")
     return same.unionByName(near.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
 
 
@@ -238,15 +238,15 @@ def links(texts: DataFrame, known: DataFrame, sketches: DataFrame, width: int, s
     edges = _checked(pairs, texts, width, similarity, scratch)
     roots = components(edges, scratch)
     dense = found.where("dense").select("hash", "at", "size", F.col("u").alias("node"))
-    joined = dense.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    joined = dense.join(shuffled(roots.withColumnRenamed("node", "linked")), F.col("node") == F.col("linked"), "left")
     joined = scratch.keep(joined.select("hash", "at", "node", "size", F.coalesce("root", "node").alias("root")), "similar-joined")
     split = scratch.keep(joined.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("hash"), "similar-split")
     if split.isEmpty():
         return roots
-    left = joined.join(maybe_broadcast(split, BROADCAST_ROWS), "hash", "left_semi").join(sketches, F.col("node") == F.col("doc_id")).drop("doc_id")
+    left = joined.join(maybe_broadcast(split, BROADCAST_ROWS), "hash", "left_semi").join(shuffled(sketches), F.col("node") == F.col("doc_id")).drop("doc_id")
     left = scratch.keep(left, "similar-left")
     on = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    rest = left.alias("a").join(left.alias("b"), on & _enough(similarity) & _near(similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    rest = left.alias("a").join(shuffled(left.alias("b")), on & _enough(similarity) & _near(similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     more = _checked(rest, texts, width, similarity, scratch)
     return roots if more.isEmpty() else components(edges.unionByName(more), scratch)
 
@@ -264,9 +264,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         nodes = scratch.keep(rows.groupBy("node").agg(F.min(F.struct("doc_id", "fp")).alias("least"), F.count("*").alias("n")), "similar-nodes")
         known = nodes.select("least.doc_id", "least.fp", "n")
         if not known.where("n > 1").isEmpty():
-            more = scratch.keep(rows.join(known, "doc_id", "left_anti").select("doc_id"), "similar-more")
+            more = scratch.keep(rows.join(shuffled(known), "doc_id", "left_anti").select("doc_id"), "similar-more")
             texts = texts.join(maybe_broadcast(more, BROADCAST_ROWS), "doc_id", "left_anti")
         roots = links(texts, known, rows.select("doc_id", "sketch"), width, similarity, hot, scratch)
-        whole = nodes.join(roots.withColumnRenamed("node", "linked"), F.col("least.doc_id") == F.col("linked"), "left")
+        whole = nodes.join(shuffled(roots.withColumnRenamed("node", "linked")), F.col("least.doc_id") == F.col("linked"), "left")
         whole = whole.select("node", F.coalesce("root", "least.doc_id").alias("component_id"), "n")
         return materialise(by_key(rows.select("doc_id", "node"), whole, "node", nodes).select("doc_id", "component_id"), "similar-components")
